@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, tokens
+from . import html, media, mixing, quality, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_media": media.op3_media,
         "op4_token_counts": tokens.op4_token_counts,
+        "op6_quality": quality.op6_quality,
         "op8_simhash": simhash.op8_simhash,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_html": html.op10_html,
     }
 
 
