@@ -91,3 +91,17 @@ def per_text(
 
     picked = df.select(*[F.col(k) for k in keys], F.col(text).cast("string").cast("binary").alias("__text"))
     return picked.mapInArrow(run, out)
+
+
+def rows_where(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], text: str = "text", slice_rows: int = 512) -> DataFrame:
+    """The rows of df, with all columns, whose text (UTF-8 bytes or None) make()'s function marks; no shuffle."""
+    at = [f.name for f in df.schema.fields].index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                yield part.filter(pa.array(keep(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, per_text, table
+from .common import fold, per_text, rows_where, table
 from .training import labels_outside, texts_of, thinned
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -144,6 +144,17 @@ def scores(docs: DataFrame, per_feature: np.ndarray, keys: tuple[str, ...] = ("d
     return per_text(docs, "score double, predicted int", make, keys)
 
 
+def accepted(docs: DataFrame, per_feature: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the model predicts to be good, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(per_feature)
+
+    def make():
+        score = Scorer(shared.value)
+        return lambda texts: [x >= threshold for x in score(texts)]
+
+    return rows_where(docs, make)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = scores(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, media, mixing, quality, simhash, tokens, toxicity
+from . import decontaminate, html, media, mixing, pii, quality, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_mixing": mixing.op2_mixing,
         "op3_media": media.op3_media,
         "op4_token_counts": tokens.op4_token_counts,
         "op6_quality": quality.op6_quality,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_simhash": simhash.op8_simhash,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_html": html.op10_html,
