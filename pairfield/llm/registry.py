@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, media, mixing, pii, quality, simhash, tokens, toxicity
+from . import decontaminate, html, media, mixing, pii, quality, simhash, substrings, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2_mixing,
         "op3_media": media.op3_media,
         "op4_token_counts": tokens.op4_token_counts,
+        "op5_substrings": substrings.op5_substrings,
         "op6_quality": quality.op6_quality,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_simhash": simhash.op8_simhash,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op5_substrings": substrings.SQL}
