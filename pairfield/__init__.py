@@ -1,0 +1 @@
+"""Image-pair observation analytics over gridded space, as DataFrame operators."""

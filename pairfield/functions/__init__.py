@@ -1 +1 @@
-
+"""Column functions: each takes and returns Columns and runs inside the JVM."""

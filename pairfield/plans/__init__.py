@@ -1 +1 @@
-
+"""Multi-step plans: temporal inversion, footprints, exports, stacks, resumable runs."""
