@@ -18,7 +18,7 @@ def human_bytes(n: Column, fixed: bool = False) -> Column:
         power = F.when(F.abs(value) >= 1024.0**i, i).otherwise(power)
     scaled = value / F.pow(F.lit(1024.0), power.cast("double"))
     unit = F.element_at(F.array(*map(F.lit, units)), (power + 1).cast("int"))
-    whole, one, two = (F.format_string(f"%.{d}f %s", scaled, unit) for d in (0, 1, 2))
+    whole, one, two = (F.format_string(f"%.{d}f %s", F.bround(scaled, d), unit) for d in (0, 1, 2))  # halves to even
     if fixed:
         out = F.when(power == 0, whole).otherwise(two)
     else:
