@@ -119,12 +119,12 @@ def mix(docs: DataFrame, seed: int = SEED, max_epochs: float = MAX_EPOCHS, budge
     source = F.col("source").cast("string")
     sized = docs.select(source.alias("source"), key.alias("key"), words(F.col("text")).alias("size"))
     goals = cut(plan(sized, max_epochs, budget, weights))
-    goals = broadcast_if_small(goals.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), "whole", "below"))
+    goals = broadcast_if_small(goals.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("below").alias("__below")))
     added = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c.lower() not in added]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], key.alias("__key"), words(F.col("text")).alias("size"))
     rows = rows.join(goals, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left")
-    copies = F.col("whole") + F.when(F.col("__key") < F.col("below"), 1).otherwise(0)
+    copies = F.col("__whole") + F.when(F.col("__key") < F.col("__below"), 1).otherwise(0)
     return rows.select(
         *[F.col(f"`{c}`") for c in kept],
         "size",
