@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,20 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
+#: Bytes of text in a slice of rows, unless one text is longer.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows and, in a binary column, SLICE_BYTES at most; a longer text is a part by itself."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total, at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def per_text(
     df: DataFrame,
     schema: str,
@@ -82,8 +98,7 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for part in slices(batch, len(keys), slice_rows):
                 made = work(part.column(len(keys)).to_pylist())
                 columns = [part.column(i).cast(target.field(i).type) for i in range(len(keys))]
                 columns += [pa.array(x, type=target.field(len(keys) + i).type) for i, x in enumerate(made)]
@@ -100,8 +115,7 @@ def rows_where(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(start, slice_rows)
+            for part in slices(batch, at, slice_rows):
                 yield part.filter(pa.array(keep(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

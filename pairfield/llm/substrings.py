@@ -8,39 +8,27 @@ shuffle, and no group of equal passages is ever gathered.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .arrays import word_hashes
+from .common import cut, slices, table, written
 
 WINDOW = 20
 #: Words of the grams from which anchors are chosen.
 GRAM = 6
-#: Words whose hashes a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
 #: Odd multipliers of the two hashes, fixed values.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Where a null doc_id stands: after all others.
 LAST_ID = (1 << 63) - 1
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Documents that are worked on at once, if they aren't long.
+SLICE = 256
 
 
 def _mix(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
@@ -88,10 +76,23 @@ def _marked(least: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, least), len(values) - 1)] == least
 
 
-def candidates(ids: np.ndarray, recurring: np.ndarray) -> np.ndarray:
-    """Marks the windows that can recur: their anchor does, in other documents or in this one."""
-    least, own = anchors(ids)
-    return _marked(least, np.union1d(recurring, own[1:][own[1:] == own[:-1]]))
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).cast("string").cast("binary").alias("t"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, 1, SLICE)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _numbers(values: pa.Scalar) -> np.ndarray:
+    """A list of longs as sorted unsigned numbers; a null list is empty."""
+    return np.sort(values.values.to_numpy(zero_copy_only=False).view(np.uint64)) if values.is_valid else np.zeros(0, np.uint64)
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -101,78 +102,63 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [squeeze(t.as_py() or b"") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["doc", "z"])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze(t or b"") for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
 
     return _keyed(docs, text).mapInArrow(run, "doc long, z binary")
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).cast("string").cast("binary").alias("t"))
-
-
-def _emit(rows: list[tuple[int, tuple[np.ndarray, ...]]], names: list[str]) -> pa.RecordBatch:
-    ids = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1][0]) for r in rows])
-    columns = [np.concatenate([r[1][i] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64) for i in range(len(names) - 1)]
-    return pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, columns)], names=names)
-
-
-def _anchor_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, anchor): each anchor of a document once."""
+def _anchored(docs: DataFrame, text: str) -> DataFrame:
+    """(doc, anchors, own): a document's distinct anchors, and those of them that it has at several places itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for key, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = hashes.of((t.as_py() or b"").split())
-                    if len(ids) >= WINDOW:
-                        rows.append((key, (np.unique(anchors(ids)[1]),)))
-                yield _emit(rows, ["doc", "anchor"])
+        for part in _slices(batches):
+            keys, found = [], []
+            for key, ids in zip(part.column(0).to_pylist(), word_hashes([t or b"" for t in part.column(1).to_pylist()]), strict=True):
+                if len(ids) >= WINDOW:
+                    every = anchors(ids)[1]
+                    again = every[1:] == every[:-1]
+                    keys.append(key)
+                    found.append((every[np.append(True, ~again)], np.unique(every[1:][again])))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(_lists([f[i] for f in found]) for i in (0, 1))], names=["doc", "anchors", "own"])
 
-    return _keyed(docs, text).mapInArrow(run, "doc long, anchor long")
+    return _keyed(docs, text).mapInArrow(run, "doc long, anchors array<long>, own array<long>")
 
 
-def _window_rows(with_recurring: DataFrame) -> DataFrame:
+def _window_rows(packed: DataFrame) -> DataFrame:
     """(doc, h1, h2): each distinct window of a document that can recur, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        hashes, open_ = WordHashes(), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for key, z, more in zip(*(part.column(i) for i in range(3)), strict=True):
-                    ids = hashes.of(open_(z.as_py()).split())
-                    if len(ids) < WINDOW:
-                        continue
-                    mark = candidates(ids, _sorted(more))
-                    if mark.any():
-                        h1, h2 = (runs(ids, WINDOW, by)[mark] for by in MULTIPLIERS)
-                        first = np.unique(h1, return_index=True)[1]
-                        rows.append((key.as_py(), (h1[first], h2[first])))
-                yield _emit(rows, ["doc", "h1", "h2"])
-
-    return with_recurring.select("doc", "z", "recurring").mapInArrow(run, "doc long, h1 long, h2 long")
-
-
-def _sorted(values: pa.Scalar) -> np.ndarray:
-    return np.sort(values.values.to_numpy(zero_copy_only=False).view(np.uint64)) if values.is_valid and len(values.values) else np.zeros(0, np.uint64)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for part in _slices(batches):
+            part = part.filter(pc.is_valid(part.column(2)))
+            if not part.num_rows:
+                continue
+            keys, one, two = [], [], []
+            for key, ids, more in zip(part.column(0).to_pylist(), word_hashes([unpack(z) for z in part.column(1).to_pylist()]), part.column(2), strict=True):
+                if len(ids) < WINDOW:
+                    continue
+                mark = _marked(anchors(ids)[0], _numbers(more))
+                h1, h2 = (runs(ids, WINDOW, by)[mark] for by in MULTIPLIERS)
+                first = np.unique(h1, return_index=True)[1]
+                keys.append(np.full(len(first), key, np.int64))
+                one.append(h1[first].view(np.int64))
+                two.append(h2[first].view(np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, one, two)], names=["doc", "h1", "h2"])
+
+    return packed.select("doc", "z", "recurring").mapInArrow(run, "doc long, h1 long, h2 long")
 
 
 def covered(ids: np.ndarray, recurring: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Marks the words in windows that start earlier too. firsts: hashes of windows whose first document this one is."""
     out = np.zeros(len(ids), bool)
-    if len(ids) < WINDOW:
-        return out
-    at = np.flatnonzero(candidates(ids, recurring))
-    if not len(at):
+    if len(ids) < WINDOW or not len(recurring):
         return out
+    at = np.flatnonzero(_marked(anchors(ids)[0], recurring))
     h1 = runs(ids, WINDOW)[at]
     first_here = np.zeros(len(at), bool)
     first_here[np.unique(h1, return_index=True)[1]] = True
@@ -191,28 +177,32 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     other stay in each. Other columns are ignored; an empty table gives an empty result. A document's rows are gathered
     by its id, in proportion to its own length; nothing else is.
     """
-    pairs = _anchor_rows(docs, text)
+    anchored = written(_anchored(docs, text))
+    pairs = anchored.select("doc", F.explode("anchors").alias("anchor"))
     twice = pairs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    recurring = cut(pairs.join(twice, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("recurring")))
-    windows = _window_rows(_packed(docs, text).join(recurring, "doc", "left"))
-    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
-    firsts = cut(first.groupBy("doc").agg(F.collect_list("h1").alias("firsts")))
-    joined = _packed(docs, text).join(recurring, "doc", "left").join(firsts, "doc", "left")
+    met = pairs.join(twice, "anchor", "left_semi").unionByName(anchored.select("doc", F.explode("own").alias("anchor")))
+    recurring = cut(met.groupBy("doc").agg(F.collect_set("anchor").alias("recurring")))
+    packed = _packed(docs, text).join(recurring, "doc", "left")  # both uses share one shuffle of the texts
+    first = _window_rows(packed).groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
+    firsts = first.groupBy("doc").agg(F.collect_list("h1").alias("firsts"))
+    joined = packed.join(firsts, "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        hashes, open_ = WordHashes(), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, n, gone, kept = batch.slice(at, 256), [], [], []
-                for z, more, mine in zip(*(part.column(i) for i in range(1, 4)), strict=True):
-                    words = open_(z.as_py()).split()
-                    drop = covered(hashes.of(words), _sorted(more), _sorted(mine))
-                    n.append(len(words))
-                    gone.append(int(drop.sum()))
-                    kept.append(b" ".join(compress(words, (~drop).tolist()) if gone[-1] else words).decode())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
+        unpack = zstandard.ZstdDecompressor().decompress
+        for part in _slices(batches):
+            texts = [unpack(z) for z in part.column(1).to_pylist()]
+            some = [i for i, r in enumerate(part.column(2)) if r.is_valid]
+            ids = dict(zip(some, word_hashes([texts[i] for i in some]), strict=True)) if some else {}
+            n, gone, kept = [], [], []
+            for i, t in enumerate(texts):
+                words = t.split()
+                drop = covered(ids[i], _numbers(part.column(2)[i]), _numbers(part.column(3)[i])) if i in ids else None
+                n.append(len(words))
+                gone.append(0 if drop is None else int(drop.sum()))
+                kept.append(b" ".join(compress(words, (~drop).tolist()) if gone[-1] else words).decode())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
 
     made = joined.select("doc", "z", "recurring", "firsts").mapInArrow(run, "doc long, n_words long, n_removed long, kept string")
     return made.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
