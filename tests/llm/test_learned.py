@@ -61,7 +61,7 @@ def test_quality_held_out(corpus, tables):
 def test_scores_equal_a_plain_average(corpus):
     model = np.random.default_rng(1).normal(size=quality.BUCKETS + 2)
     for text in (b"", b"a b b c", b"same same same", corpus[3][1].encode()):
-        rows, weight = quality.bag(text, {})
+        rows, weight = quality.bag(text)
         assert quality.Scorer(model)([text])[0] == pytest.approx(1 / (1 + np.exp(-(weight.astype(float) @ model[rows]))), rel=1e-4)
 
 

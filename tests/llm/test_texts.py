@@ -297,3 +297,33 @@ def test_numpy_helpers():
     ids = np.arange(1, 60, dtype=np.uint64)
     assert len(substrings.runs(ids, 20)) == 40 and len(set(substrings.runs(ids, 20).tolist())) == 40
     assert (substrings.runs(np.tile(ids[:30], 2), 20)[:11] == substrings.runs(ids[:30], 20)).all()
+
+
+# suffix automata
+
+
+def test_matching_statistics_match_brute_force():
+    from pairfield.llm import automaton
+
+    rnd = random.Random(8)
+    for _ in range(60):
+        refs = [np.array([rnd.randrange(3) for _ in range(rnd.randrange(1, 15))], np.uint64) for _ in range(3)]
+        doc = np.array([rnd.randrange(4) for _ in range(30)], np.uint64)
+        made = automaton.SuffixAutomaton(refs).matching(doc)
+        runs_of = {tuple(r[i:j].tolist()) for r in refs for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
+        want = [max((n for n in range(1, i + 2) if tuple(doc[i + 1 - n : i + 1].tolist()) in runs_of), default=0) for i in range(len(doc))]
+        assert made.tolist() == want
+
+
+def test_reference_spans(spark, monkeypatch):
+    from pairfield.llm import automaton
+
+    reference = spark.createDataFrame([("all rights are reserved here by us",), ("no warranty of any kind is given",), (None,)], "text string")
+    texts = ["one two all rights are reserved here by me", None, "", "any kind  is", "no warranty of any kind is given today, no warranty of any", "rights reserved"]
+    d = spark.createDataFrame([(7, t, i) for i, t in enumerate(texts)], "doc_id long, text string, a int")
+    for words in (6, 1000):
+        monkeypatch.setattr(automaton.shards, "__defaults__", ("text", words))
+        made = automaton.without_reference(d, reference, 5)
+        assert made.columns == d.columns
+        assert [r["text"] for r in made.orderBy("a").collect()] == ["one two me", None, "", "any kind  is", "today, no warranty of any", "rights reserved"]
+    assert automaton.without_reference(d.limit(0), reference, 5).collect() == []
