@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import character_grams, pieces, word_hashes
 from .common import fold, per_text, rows_where, table
 from .training import labels_outside, texts_of, thinned
 
@@ -15,47 +16,29 @@ FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Labelled documents to train on, about; chosen by a hash of the id.
 TRAIN_ROWS = 4_000
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 16, 10, 6, 0.4, 7
-#: Character n-grams of a word between boundary marks.
+#: Character n-grams of a word between boundary marks; the words themselves are features too.
 GRAMS = (2, 3, 4)
-#: Words whose scores a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
-
-#: Features that are not hashed: one that every document has, and an adjacent pair of equal words.
+#: Features that are not hashed: one that every document has, and adjacent pairs of equal words, which count more.
 ALWAYS, SAME = BUCKETS, BUCKETS + 1
+SAME_COUNTS = 4.0
 
 
-def features_of(word: bytes) -> np.ndarray:
-    """Hashed feature numbers of a word: the word itself and its character n-grams."""
-    import xxhash
-
-    marked = "<" + word.decode("utf-8", "replace") + ">"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
-    seen = {xxhash.xxh32_intdigest(g.encode(), n) % BUCKETS for n, g in enumerate([marked])}
-    rows = [*seen, *(xxhash.xxh32_intdigest(g.encode(), 1) % BUCKETS for g in grams)]
-    return np.array(rows, np.int64)
+def _word_buckets(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def same_pairs(words: list[bytes]) -> int:
-    return sum(map(bytes.__eq__, words, words[1:])) if len(words) > 1 else 0
+def same_pairs(hashes: np.ndarray) -> int:
+    return int(np.count_nonzero(hashes[1:] == hashes[:-1]))
 
 
-def bag(text: bytes, of_word: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The document's feature numbers and their shares, which sum to 1."""
-    words = text.split()
-    count: dict[bytes, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
-    for w in count:
-        if w not in of_word:
-            of_word[w] = features_of(w)
-    ids = [of_word[w] for w in count]
-    many = [np.full(len(i), n, np.float64) for i, n in zip(ids, count.values(), strict=True)]
-    same = same_pairs(words)
-    ids.append(np.array([ALWAYS, SAME]))
-    many.append(np.array([1.0, 4.0 * same]))
-    rows, at = np.unique(np.concatenate(ids), return_inverse=True)
-    weight = np.bincount(at, np.concatenate(many))
-    return rows.astype(np.int32), (weight / weight.sum()).astype(np.float32)
+    words = word_hashes([text])[0]
+    grams, counts, _ = character_grams([text], GRAMS, BUCKETS)
+    every = np.bincount(np.concatenate([_word_buckets(words), *(g[c] for g, c in zip(grams, counts, strict=True))]), minlength=BUCKETS + 2).astype(np.float64)
+    every[ALWAYS], every[SAME] = 1.0, SAME_COUNTS * same_pairs(words)
+    rows = np.flatnonzero(every)
+    return rows.astype(np.int32), (every[rows] / every.sum()).astype(np.float32)
 
 
 def train(samples: list[tuple[bytes, int]]) -> np.ndarray:
@@ -69,9 +52,7 @@ def train(samples: list[tuple[bytes, int]]) -> np.ndarray:
         out = np.zeros(BUCKETS + 2)
         out[:] = math.log((n_good + 1) / (len(samples) - n_good + 1))
         return out
-    of_word: dict[bytes, np.ndarray] = {}
-    bags = [bag(t, of_word) for t, _ in samples]
-    of_word.clear()
+    bags = [bag(t) for t, _ in samples]
     random = np.random.default_rng(SEED)
     vectors = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS + 2, WIDTH)).astype(np.float32)
     output = np.zeros((WIDTH, 2), np.float32)
@@ -97,31 +78,36 @@ def train(samples: list[tuple[bytes, int]]) -> np.ndarray:
 
 
 class Scorer:
-    """Scores UTF-8 texts. The average is linear, so a word needs only its features' sum and number."""
+    """Scores UTF-8 texts. The average is linear, so each n-gram adds what its feature contributes."""
 
     def __init__(self, per_feature: np.ndarray):
-        self.per_feature, self.known = per_feature, {}
-
-    def _of(self, word: bytes) -> tuple[float, int]:
-        ids = features_of(word)
-        found = self.known[word] = (float(self.per_feature[ids].sum()), len(ids))
-        return found
+        self.per_feature = per_feature
+
+    def _grams(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over each text's n-grams, and their number."""
+        grams, counts, starts = character_grams(texts, GRAMS, BUCKETS)
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for g, c in zip(grams, counts, strict=True):
+            some = np.searchsorted(starts, len(g))  # texts at the end may be shorter than the n-gram
+            if some:
+                total[:some] += np.add.reduceat(np.where(c, self.per_feature[g], 0.0), starts[:some])
+                n[:some] += np.add.reduceat(c.astype(np.int64), starts[:some])
+        return total, n
 
     def __call__(self, texts: list) -> list[float]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out, known = [], self.known
-        for text in texts:
-            words = (text or b"").split()
-            for w in set(words):
-                if w not in known:
-                    self._of(w)
-            pairs = list(map(known.__getitem__, words))
-            same = 4.0 * same_pairs(words)
-            total = sum(p[0] for p in pairs) + self.per_feature[ALWAYS] + same * self.per_feature[SAME]
-            logit = total / (sum(p[1] for p in pairs) + 1.0 + same)
-            out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, logit)))))
-        return out
+        texts = [t or b"" for t in texts]
+        if not texts:
+            return []
+        words = word_hashes(texts)
+        same = SAME_COUNTS * np.array([same_pairs(w) for w in words])
+        parts = [pieces(t) for t in texts]
+        each = [self._grams(p) for p in ([[q] for ps in parts for q in ps] if any(len(ps) > 1 for ps in parts) else [texts])]
+        first = np.cumsum([0, *map(len, parts[:-1])])
+        total, n = (np.add.reduceat(np.concatenate([e[i] for e in each]), first) for i in (0, 1))
+        total += [self.per_feature[_word_buckets(w)].sum() for w in words]
+        total += self.per_feature[ALWAYS] + same * self.per_feature[SAME]
+        n += np.array([len(w) for w in words], np.float64) + 1.0 + same
+        return (1 / (1 + np.exp(-np.clip(total / n, -60, 60)))).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = FOLDS, held_out: int = HELD_OUT) -> np.ndarray:
