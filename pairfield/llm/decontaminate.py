@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_where, table
+from .arrays import NOT_ALNUM, word_hashes
+from .common import rows_where, slices, table
 
 #: Words of a seed.
 SEED_WORDS = 3
@@ -25,27 +26,13 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
 #: Items that are searched at once; more are searched block by block.
 BLOCK_ITEMS = 20_000
-#: Words whose numbers a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
-_EDGE = b" \t.,;:!?\"'()[]{}<>|*#$%&"
+#: Documents that are worked on at once, if they aren't long.
+SLICE = 256
 
 
-class Words(dict):
-    """Numbers of words: a 64-bit hash of the word in lower case without punctuation around it; 0 for none."""
-
-    def __missing__(self, raw: bytes) -> int:
-        import xxhash
-
-        word = raw.strip(_EDGE).decode("utf-8", "replace").lower().encode()
-        self[raw] = found = xxhash.xxh3_64_intdigest(word) | 1 if word else 0
-        return found
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        parts = (text or b"").split()
-        ids = np.fromiter(map(self.__getitem__, parts), np.uint64, len(parts))
-        return ids[ids != 0]
+def words_of(texts: list) -> list[np.ndarray]:
+    """Hashes of the words of UTF-8 texts, in lower case; all but letters, digits and what isn't ASCII parts words."""
+    return word_hashes([(t or b"").decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM)
 
 
 def grams(ids: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
@@ -108,22 +95,18 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _items(rows: list, words: Words) -> list[tuple[int, np.ndarray]]:
-    numbered = [(r["item_id"], words.of(r["t"])) for r in rows]
-    return [(i, w) for i, w in numbered if len(w) >= LEAST_WORDS]
-
-
 def _seen(docs: DataFrame, wanted: np.ndarray, text: str) -> dict[int, int]:
     """In how many documents each of the wanted hashes occurs; counted by task, then summed. Bounded by the wanted ones."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, words = Lookup(shared.value), Words()
+        look = Lookup(shared.value)
         count = np.zeros(len(look.values), np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                _, spot = look.find(grams(words.of(t.as_py())))
-                count[np.unique(spot)] += 1
+            for part in slices(batch, 0, SLICE):
+                for ids in words_of(part.column(0).to_pylist()):
+                    _, spot = look.find(grams(ids))
+                    count[np.unique(spot)] += 1
         has = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(look.values[has].view(np.int64)), pa.array(count[has])], names=["g", "n"])
 
@@ -152,16 +135,15 @@ class Matcher:
     """Finds the items that a document copies."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], seeds: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float):
-        self.items, self.threshold, self.words = items, threshold, Words()
+        self.items, self.threshold = items, threshold
         order = np.argsort(seeds[0], kind="stable")
         self.owner, self.place = seeds[1][order], seeds[2][order]
         self.look = Lookup(seeds[0])
         self.first = np.searchsorted(seeds[0][order], self.look.values)
         self.last = np.searchsorted(seeds[0][order], self.look.values, "right")
 
-    def __call__(self, text: bytes | None) -> list[tuple[int, float, int, int]]:
-        """(item_id, share of the full score, first word, word after the last) for each item that is copied."""
-        ids = self.words.of(text)
+    def __call__(self, ids: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """(item_id, share of the full score, first word, word after the last) for each item that the words copy."""
         at, spot = self.look.find(grams(ids))
         if len(at) < 1:
             return []
@@ -193,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     Two passes over the documents, both without a shuffle of texts: one counts the seeds of the items in all documents,
     one looks up the rarest seeds and aligns. Items go in blocks of a fixed number, so what is broadcast is bounded.
-    Words are compared in lower case without punctuation around them. Null or empty texts match nothing; items of fewer
+    Words are compared in lower case; punctuation only parts them. Null or empty texts match nothing; items of fewer
     than LEAST_WORDS words, null ones included, are not searched; repeated rows give a row each; ties go to the earliest
     place. An empty table on either side gives an empty result; other columns are ignored.
     """
@@ -206,10 +188,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             match = Matcher(*shared.value, threshold)
             for batch in batches:
                 keys, found = [], []
-                for key, t in zip(batch.column(0), batch.column(1), strict=True):
-                    for hit in match(t.as_py()):
-                        keys.append(key.as_py())
-                        found.append(hit)
+                for part in slices(batch, 1, SLICE):
+                    for key, ids in zip(part.column(0).to_pylist(), words_of(part.column(1).to_pylist()), strict=True):
+                        hits = match(ids)
+                        keys += [key] * len(hits)
+                        found += hits
                 columns = [pa.array(keys, batch.schema.field(0).type)]
                 for i, kind in enumerate((None, pa.float64(), pa.int64(), pa.int64())):
                     columns.append(pa.array([h[i] for h in found], kind or pa.int64()))
@@ -235,9 +218,10 @@ def _searches(docs: DataFrame, benchmark: DataFrame, text: str) -> Iterator:
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Items in blocks of BLOCK_ITEMS, by id, streamed to the driver; each block is dropped before the next."""
     rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("t"))
-    block, words = [], Words()
+    block: list[tuple[int, np.ndarray]] = []
     for r in rows.orderBy("item_id", "t").toLocalIterator():
-        block += _items([r], words)
+        ids = words_of([r["t"]])[0]
+        block += [(r["item_id"], ids)] if len(ids) >= LEAST_WORDS else []
         if len(block) >= BLOCK_ITEMS:
             yield block
             block = []
@@ -251,7 +235,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, t
 
         def make(shared=shared):
             match = Matcher(*shared.value, threshold)
-            return lambda texts: [not match(t) for t in texts]
+            return lambda texts: [not match(ids) for ids in words_of(texts)]
 
         docs = rows_where(docs, make, text)
     return docs
