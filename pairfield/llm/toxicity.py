@@ -14,10 +14,10 @@ from .training import labels_outside, texts_of, thinned
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Confirmed toxic and unlabelled documents to train on, about; chosen by a hash of the id.
-POSITIVE_ROWS, UNLABELLED_ROWS = 2_000, 5_000
+POSITIVE_ROWS, UNLABELLED_ROWS = 2_000, 10_000
 BUCKETS, EPOCHS, BATCH, RATE, DECAY, SEED = 1 << 18, 100, 1024, 0.25, 1e-5, 11
-#: Only features that so many toxic documents have, and a share of them so many times that of all, get a weight.
-LEAST_TOXIC, LEAST_LIFT = 4, 3.0
+#: Only features that so many toxic documents have, more than by chance by so many standard deviations, get a weight.
+LEAST_TOXIC, LEAST_SIGMAS = 3, 3.0
 #: Beginnings of words that are features besides the words.
 STARTS = (3, 4, 5, 6)
 #: Words whose scores a worker remembers; beyond it the memory starts anew.
@@ -41,7 +41,21 @@ def features_of(word: str) -> list[int]:
 def bag(text: bytes) -> np.ndarray:
     """The features of the document's distinct words, each once."""
     found = {f for w in {core(w) for w in set(text.split())} for f in features_of(w)}
-    return np.array(sorted(found), np.int64)
+    return np.array(sorted(found), np.int32)
+
+
+class _Rows:
+    """Bags of telling features as one flat array, to take many at once."""
+
+    def __init__(self, bags: list[np.ndarray]):
+        self.size = np.array([len(b) for b in bags])
+        self.at, self.flat = np.cumsum(self.size) - self.size, np.concatenate(bags)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of those bags, and for each the place of its bag in which."""
+        size = self.size[which]
+        row = np.repeat(np.arange(len(which)), size)
+        return self.flat[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.at[which], size)], row
 
 
 def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple[np.ndarray, float]:
@@ -49,43 +63,55 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple
 
     The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). Where the second term falls below zero, the step goes
     against it instead, so that the model doesn't fit unlabelled texts beyond what the class prior allows. Each
-    feature's rate falls with its own gradients.
+    feature's rate falls with its own gradients. Last, the bias is moved so that THRESHOLD meets
+    the prior better: see calibrated().
     """
-    weights, bias = np.zeros(BUCKETS), -2.0
     if not positive or not unlabelled:
-        return weights, math.log((prior + 1e-3) / (1 - prior + 1e-3))
+        return np.zeros(BUCKETS), math.log((prior + 1e-3) / (1 - prior + 1e-3))
     pos, unl = [bag(t) for t in positive], [bag(t) for t in unlabelled]
     in_pos, in_unl = (np.bincount(np.concatenate(b), minlength=BUCKETS) for b in (pos, unl))
-    telling = (in_pos >= LEAST_TOXIC) & (in_pos / len(pos) > LEAST_LIFT * (in_unl + 1) / len(unl))
-    pos, unl = [b[telling[b]] for b in pos], [b[telling[b]] for b in unl]
-    random, seen, seen_bias = np.random.default_rng(SEED), np.full(BUCKETS, 1e-2), 1e-2
-    half = max(1, BATCH // 2)
-
-    def logits(bags: list[np.ndarray]) -> np.ndarray:
-        return np.array([weights[b].sum() for b in bags]) + bias
-
+    by_chance = (in_unl + 1) * (len(pos) / len(unl))
+    telling = np.flatnonzero((in_pos >= LEAST_TOXIC) & (in_pos - by_chance > LEAST_SIGMAS * np.sqrt(by_chance + 1)))
+    if not len(telling):
+        return np.zeros(BUCKETS), math.log(prior / (1 - prior))
+    number = np.full(BUCKETS, -1)
+    number[telling] = np.arange(len(telling))
+    pos, unl = (_Rows([number[b][number[b] >= 0] for b in bags]) for bags in (pos, unl))
+    random, half, n = np.random.default_rng(SEED), max(1, BATCH // 2), len(telling)
+    weights, seen, bias, seen_bias = np.zeros(n), np.full(n, 1e-2), -2.0, 1e-2
     for _ in range(EPOCHS):
-        order = random.permutation(len(unl))
+        order = random.permutation(len(unl.size))
         for at in range(0, len(order), half):
-            us = [unl[i] for i in order[at : at + half]]
-            ps = [pos[i] for i in random.integers(0, len(pos), half)]
-            zp, zu = np.clip(logits(ps), -30, 30), np.clip(logits(us), -30, 30)
+            us, ps = order[at : at + half], random.integers(0, len(pos.size), half)
+            (fu, ru), (fp, rp) = unl.take(us), pos.take(ps)
+            zu, zp = (np.clip(np.bincount(r, weights[f], len(k)) + bias, -30, 30) for f, r, k in ((fu, ru, us), (fp, rp, ps)))
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             gp, gu = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
             if negative >= 0:  # slopes of the whole risk
-                sp, su = (prior * (gp - 1) - prior * gp) / len(ps), gu / len(us)
+                sp, su = np.full(len(ps), -prior / len(ps)), gu / len(us)
             else:  # up the negative term alone
                 sp, su = prior * gp / len(ps), -gu / len(us)
-            rows = np.concatenate([*ps, *us])
-            slope = np.repeat(np.r_[sp, su], [len(b) for b in (*ps, *us)])
-            ids, inverse = np.unique(rows, return_inverse=True)
-            step = np.bincount(inverse, slope, len(ids)) + DECAY * weights[ids]
-            seen[ids] += step**2
-            weights[ids] -= RATE * step / np.sqrt(seen[ids])
+            touched = np.bincount(fu, minlength=n) + np.bincount(fp, minlength=n) > 0
+            step = np.where(touched, np.bincount(fu, su[ru], n) + np.bincount(fp, sp[rp], n) + DECAY * weights, 0.0)
+            seen += step**2
+            weights -= RATE * step / np.sqrt(seen)
             step = sp.sum() + su.sum()
             seen_bias += step**2
             bias -= RATE * step / math.sqrt(seen_bias)
-    return weights, float(bias)
+    f, r = unl.take(np.arange(len(unl.size)))
+    bias += calibrated(np.bincount(r, weights[f], len(unl.size)) + bias, prior)
+    out = np.zeros(BUCKETS)
+    out[telling] = weights
+    return out, float(bias)
+
+
+def calibrated(logits: np.ndarray, prior: float) -> float:
+    """What to add to logits, given those of unlabelled texts: THRESHOLD goes half the way to the prior's quantile.
+
+    Where fewer unlabelled texts than the prior says score above THRESHOLD, the bias is too low; never the other way.
+    """
+    now = math.log(THRESHOLD / (1 - THRESHOLD))
+    return max(0.0, now - float(np.quantile(logits, 1 - prior))) / 2
 
 
 class Scorer:

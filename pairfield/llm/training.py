@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, fold
 
 #: Texts longer than so many characters are not trained on; they are scored like all others.
-TRAIN_CHARS = 200_000
+TRAIN_CHARS = 50_000
 
 
 def labels_outside(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
