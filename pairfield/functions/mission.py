@@ -33,7 +33,16 @@ def normalize_mission(value: Column) -> Column:
 
 
 def normalize_pair_mission(mission: Column, satellite: Column) -> Column:
-    """Compact mission and satellite codes as mission names: S with 1A is SENTINEL-1, L with 8 is LANDSAT-8."""
+    """Compact mission and satellite codes as mission names: S with 1A is SENTINEL-1, L with 8 is LANDSAT-8.
+
+    The usual codes come first, by equality alone, so that patterns are only matched for what remains.
+    """
+    usual = F.when((mission == "S") & satellite.isin("1A", "1B"), "SENTINEL-1").when((mission == "S") & satellite.isin("2A", "2B"), "SENTINEL-2")
+    usual = usual.when((mission == "L") & satellite.isin("4", "5", "7", "8", "9"), F.concat(F.lit("LANDSAT-"), satellite))
+    return usual.otherwise(_normalize_pair(mission, satellite))
+
+
+def _normalize_pair(mission: Column, satellite: Column) -> Column:
     name = normalize_mission(mission)
     code = F.regexp_replace(F.upper(F.coalesce(satellite, F.lit(""))), "[^A-Z0-9]+", "")
     digit = F.regexp_extract(code, "^([45789])", 1)

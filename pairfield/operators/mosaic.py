@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import nearest_index
+from ..sources.tables import broadcast_if_small
 
 
 def owned(pixels: DataFrame, tiles: DataFrame, step: float) -> DataFrame:
     """Each pixel with the tile whose half-open box holds its centre; of several the last by id.
 
-    Boxes meet pixels by equality on strips of x of a given width, then by range: no nested loop over all tiles. tiles:
-    (tile_id, xmin, ymin, xmax, ymax).
+    Boxes meet pixels by equality on strips of x of a given width, then by range: no nested loop over all tiles, and no
+    shuffle of pixels by tile while tiles are few. tiles: (tile_id, xmin, ymin, xmax, ymax).
     """
     strips = F.sequence(F.floor(F.col("xmin") / step), F.floor(F.col("xmax") / step))
     spread = tiles.withColumn("__strip", F.explode(strips))
     rows = pixels.withColumn("__strip", F.floor(F.col("x") / step))
     hit = (F.col("x") >= F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") < F.col("ymax"))
-    return rows.join(spread, "__strip").filter(hit).groupBy("y", "x").agg(F.max("tile_id").alias("tile_id"))
+    return rows.join(broadcast_if_small(spread), "__strip").filter(hit).groupBy("y", "x").agg(F.max("tile_id").alias("tile_id"))
 
 
 def sampled(owned_pixels: DataFrame, tiles: DataFrame, source: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def sampled(owned_pixels: DataFrame, tiles: DataFrame, source: DataFrame) -> Dat
 
     tiles: (tile_id, x0, y0, dx, dy, nx, ny); source: (tile_id, row, col, value). Pixels without a value are left null.
     """
-    t = owned_pixels.join(tiles, "tile_id")
+    t = owned_pixels.join(broadcast_if_small(tiles), "tile_id")
     at = t.withColumn("col", nearest_index(F.col("x"), F.col("x0"), F.col("dx"), F.col("nx"))).withColumn("row", nearest_index(F.col("y"), F.col("y0"), F.col("dy"), F.col("ny")))
     return at.join(source, ["tile_id", "row", "col"], "left").select("y", "x", "tile_id", "row", "col", "value")
 

@@ -124,7 +124,7 @@ def deduplicated(observations: DataFrame) -> DataFrame:
     return keyed.groupBy("observation_key").agg(
         F.min(place)["cube_id"].alias("source_cube_id"),
         F.min(place)["observation_index"].alias("observation_index"),
-        F.count_distinct("cube_id").alias("cube_count"),
+        F.size(F.collect_set("cube_id")).cast("long").alias("cube_count"),  # a distinct count would shuffle once more
         F.array_join(F.sort_array(F.collect_set("cube_id")), ";").alias("cube_ids"),
         F.to_json(F.sort_array(F.collect_list(place))).alias("cube_observations"),
     )
@@ -133,7 +133,7 @@ def deduplicated(observations: DataFrame) -> DataFrame:
 def cubes_per_key(observations: DataFrame) -> DataFrame:
     """Each observation with the number of cubes that hold its key; counted once per key, then joined back."""
     keyed = observations.withColumn("observation_key", observation_key())
-    counts = keyed.groupBy("observation_key").agg(F.count_distinct("cube_id").alias("cube_count"))
+    counts = keyed.groupBy("observation_key").agg(F.size(F.collect_set("cube_id")).cast("long").alias("cube_count"))
     return keyed.join(counts, "observation_key")
 
 

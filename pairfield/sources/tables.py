@@ -19,6 +19,15 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, lines:
     return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
+#: Rows above which a table is never broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint only where at most so many rows were counted; a larger table stays as it is and is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def require(df: DataFrame, bad: str, message: str) -> DataFrame:
     """Fails if any row satisfies bad; otherwise returns df. The check is one aggregation."""
     if n := df.agg(F.count_if(F.expr(bad)).alias("n")).first()["n"]:
