@@ -586,3 +586,159 @@ def grid_regularity(spark, d):
 def fingerprint_sha256(spark, d):
     columns = ["o_orderkey", "o_custkey", "o_orderpriority"]
     return runs.with_fingerprint(read(spark, d, "orders").select(columns), columns).select("o_orderkey", "fingerprint")
+
+
+# Further operators, each on whole tables.
+
+
+@query("intersecting_cubes", "WITH c AS (SELECT 'c' || s_suppkey AS cube_id, (s_suppkey % 30)::DOUBLE AS xmin, (s_suppkey % 17)::DOUBLE AS ymin FROM supplier) SELECT cube_id FROM c WHERE xmin < 12 AND xmin + 4 > 2 AND ymin < 9 AND ymin + 3 > 5")
+def intersecting_cubes(spark, d):
+    k = F.col("s_suppkey")
+    x, y = (k % 30).cast("double"), (k % 17).cast("double")
+    cubes = read(spark, d, "supplier").select(F.concat(F.lit("c"), k.cast("string")).alias("cube_id"), x.alias("xmin"), y.alias("ymin"), (x + 4).alias("xmax"), (y + 3).alias("ymax"))
+    return mos.intersecting(cubes, 2, 5, 12, 9).select("cube_id")
+
+
+@query("mission_rollup", f"{CELLS_SQL} SELECT coalesce({GROUP_SQL}, 'all') AS mission_group, coalesce(mission, 'all') AS mission, count(*) AS n_observations FROM cells GROUP BY ROLLUP ({GROUP_SQL}, mission)")
+def mission_rollup(spark, d):
+    group = F.when(F.col("mission").startswith("LANDSAT-"), "LANDSAT").otherwise(F.col("mission"))
+    rows = cells(spark, d).withColumn("mission_group", group).rollup("mission_group", "mission").agg(F.count("*").alias("n_observations"))
+    return rows.select(F.coalesce("mission_group", F.lit("all")).alias("mission_group"), F.coalesce("mission", F.lit("all")).alias("mission"), "n_observations")
+
+
+CELL_GRID_SQL = "src AS (SELECT x AS ix, y AS iy, CAST(count(*) FILTER (valid) AS DOUBLE) AS value FROM cells GROUP BY ALL), t AS (SELECT p_partkey AS target_id, (p_partkey % 97) / 4.0::DOUBLE AS fx, (p_partkey % 211) / 4.0::DOUBLE AS fy FROM part)"
+
+
+def _resampled(spark: SparkSession, d: str, method) -> DataFrame:
+    source = cells(spark, d).groupBy(F.col("x").alias("ix"), F.col("y").alias("iy")).agg(F.count_if(_is_valid()).cast("double").alias("value"))
+    k = F.col("p_partkey")
+    targets = read(spark, d, "part").select(k.alias("target_id"), ((k % 97) / F.lit(4.0)).alias("fx"), ((k % 211) / F.lit(4.0)).alias("fy"))
+    return method(targets, source).withColumn("value", F.round("value", 8))
+
+
+@query("resample_nearest", f"{CELLS_SQL}, {CELL_GRID_SQL} SELECT target_id, round(value, 8) AS value FROM t LEFT JOIN src ON ix = CAST(round_even(fx, 0) AS BIGINT) AND iy = CAST(round_even(fy, 0) AS BIGINT)")
+def resample_nearest(spark, d):
+    return _resampled(spark, d, mos.nearest_order)
+
+
+@query(
+    "resample_cubic",
+    f"""{CELLS_SQL}, {CELL_GRID_SQL}, o AS (SELECT target_id, CAST(floor(fx) AS BIGINT) + i AS ix, CAST(floor(fy) AS BIGINT) + j AS iy, abs(fx - floor(fx) - i) AS a, abs(fy - floor(fy) - j) AS b
+      FROM t, (SELECT unnest(range(-1, 3)) AS i), (SELECT unnest(range(-1, 3)) AS j)),
+    k AS (SELECT target_id, ix, iy, (CASE WHEN a <= 1 THEN 1.5 * a * a * a - 2.5 * a * a + 1 WHEN a < 2 THEN -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2 ELSE 0 END)
+      * (CASE WHEN b <= 1 THEN 1.5 * b * b * b - 2.5 * b * b + 1 WHEN b < 2 THEN -0.5 * b * b * b + 2.5 * b * b - 4 * b + 2 ELSE 0 END) AS w FROM o)
+    SELECT target_id, CASE WHEN count(value) = count(*) THEN round(sum(w * value), 8) END AS value FROM k LEFT JOIN src USING (ix, iy) WHERE w <> 0 GROUP BY target_id""",
+)
+def resample_cubic(spark, d):
+    return _resampled(spark, d, mos.cubic)
+
+
+@query("pending_blocks", f"WITH {PIXELS_SQL}, b AS (SELECT DISTINCT CAST(y // 10 AS BIGINT) || ':' || CAST(x // 10 AS BIGINT) AS block_id FROM pixels) SELECT block_id FROM b WHERE block_id NOT LIKE '%:0'")
+def pending_blocks(spark, d):
+    wanted = runs.blocks(_pixels(spark, d).withColumn("cube_id", F.lit("all")), 10).withColumn("fingerprint", F.lit("f"))
+    done = wanted.filter("block_id LIKE '%:0'").withColumn("status", F.lit("complete"))
+    stale = wanted.withColumn("status", F.lit("complete")).withColumn("fingerprint", F.lit("older"))
+    return runs.pending(wanted, done.unionByName(stale)).select("block_id")
+
+
+@query(
+    "download_plan",
+    """WITH e AS (SELECT event_id, event_id % 9 = 0 AS none, 1000 + event_id % 500 AS size, CASE event_id % 4 WHEN 1 THEN 1000 + event_id % 500 WHEN 2 THEN 10 END AS have FROM events)
+    SELECT event_id AS item_id, CASE WHEN none THEN 'NO_ASSET' WHEN have >= size THEN 'SKIP' WHEN have > 0 THEN 'RESUME' ELSE 'GET' END AS action, CAST(CASE WHEN none THEN 0 ELSE coalesce(have, 0) END AS BIGINT) AS from_byte FROM e""",
+)
+def download_plan(spark, d):
+    i = F.col("event_id")
+    e = read(spark, d, "events")
+    name = F.concat(F.lit("f"), i.cast("string"), F.lit(".nc"))
+    records = e.select(i.alias("item_id"), F.when(i % 9 != 0, F.concat(F.lit("https://h/x/"), name)).alias("data_href"), (1000 + i % 500).alias("asset_size_bytes"))
+    present = e.select(name.alias("name"), F.when(i % 4 == 1, 1000 + i % 500).when(i % 4 == 2, F.lit(10)).alias("bytes")).filter("bytes IS NOT NULL")
+    return inv.download_plan(records, present).select("item_id", "action", F.col("from_byte").cast("long").alias("from_byte"))
+
+
+@query("probed_sizes", f"{GRANULES_SQL} SELECT CASE WHEN size IS NOT NULL THEN 'stac' WHEN item_id % 2 = 0 THEN 'http' ELSE 'none' END AS source, count(*) AS n_records, CAST(sum(CASE WHEN size IS NOT NULL THEN size WHEN item_id % 2 = 0 THEN 7 ELSE 0 END) AS BIGINT) AS total_bytes FROM granules GROUP BY 1")
+def probed_sizes(spark, d):
+    g = granules(spark, d).withColumn("asset_size_bytes", text.whole_number(F.col("asset_size_bytes"))).withColumn("asset_size_source", F.when(F.col("asset_size_bytes").isNotNull(), "stac"))
+    probed = read(spark, d, "events").filter("event_id % 2 = 0").select(F.col("event_id").alias("item_id"), F.lit(7).cast("long").alias("probed_bytes"))
+    rows = inv.with_probed_sizes(g, probed)
+    return rows.groupBy(F.coalesce("asset_size_source", F.lit("none")).alias("source")).agg(F.count("*").alias("n_records"), F.sum(F.coalesce("asset_size_bytes", F.lit(0))).cast("long").alias("total_bytes"))
+
+
+def _polar_sql() -> str:
+    import math
+
+    e, lat0 = geo.ECCENTRICITY, math.radians(geo.TRUE_SCALE_LATITUDE)
+    tf = math.tan(math.pi / 4 + lat0 / 2) / ((1 + e * math.sin(lat0)) / (1 - e * math.sin(lat0))) ** (e / 2)
+    mf = math.cos(lat0) / math.sqrt(1 - (e * math.sin(lat0)) ** 2)
+    return f"""WITH c AS (SELECT c_custkey, (c_custkey % 360) - 180 AS lon, -60 - (c_custkey % 30) / 1.01::DOUBLE AS lat FROM customer),
+    r AS (SELECT *, {geo.SEMI_MAJOR * mf / tf!r} * tan(pi() / 4 + radians(lat) / 2) / pow((1 + {e!r} * sin(radians(lat))) / (1 - {e!r} * sin(radians(lat))), {e / 2!r}) AS rho FROM c)
+    SELECT c_custkey, round(rho * sin(radians(lon)), 3) + 0.0 AS x, round(rho * cos(radians(lon)), 3) + 0.0 AS y, round(lat, 6) AS lat_back FROM r"""
+
+
+@query("polar_projection", _polar_sql())
+def polar_projection(spark, d):
+    """To the grid and back: the latitude returns."""
+    k = F.col("c_custkey")
+    x, y = geo.to_polar((k % 360 - 180).cast("double"), -60 - (k % 30) / F.lit(1.01))
+    rows = read(spark, d, "customer").select("c_custkey", x.alias("x"), y.alias("y"))
+    return rows.select("c_custkey", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"), F.round(geo.from_polar(F.col("x"), F.col("y"))[1], 6).alias("lat_back"))
+
+
+@query("buffer_distance", f"WITH {PIXELS_SQL} SELECT y, x, round(sqrt(pow(greatest(4 - x, x - 11, 0), 2) + pow(greatest(6 - y, y - 30, 0), 2)), 9) AS distance FROM pixels")
+def buffer_distance(spark, d):
+    ring = geo.densified_ring(4, 6, 11, 30, 1)
+    return _pixels(spark, d).withColumn("distance", F.round(geo.distance_to_ring(F.col("x").cast("double"), F.col("y").cast("double"), ring), 9))
+
+
+@query("usable_observations", f"{CELLS_SQL} SELECT cube_id, count(*) FILTER (valid AND v_error > 0) AS n_usable, round(sum(CASE WHEN valid AND v_error > 0 THEN 1 / (v_error * v_error) END), 6) AS weight FROM cells GROUP BY cube_id")
+def usable_observations(spark, d):
+    ok = inversion.usable(_is_valid(), F.col("v_error"))
+    return cells(spark, d).groupBy("cube_id").agg(F.count_if(ok).alias("n_usable"), F.round(F.sum(F.when(ok, 1 / (F.col("v_error") * F.col("v_error")))), 6).alias("weight"))
+
+
+@query("validity_components", "SELECT l_returnflag, count(*) AS n_cells, count(*) FILTER (l_tax <> 0 AND l_discount <> 0) AS n_valid FROM lineitem GROUP BY l_returnflag")
+def validity_components(spark, d):
+    """A speed that is absent: both components must be valid, zero being declared missing here."""
+    ok = cov.valid([F.col("l_tax"), F.col("l_discount")], [0.0])
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n_cells"), F.count_if(ok).alias("n_valid"))
+
+
+@query("renumbered_observations", f"{CELLS_SQL}, o AS (SELECT DISTINCT cube_id, observation_index FROM cells WHERE {SELECTED_SQL}) SELECT cube_id, observation_index, CAST(row_number() OVER (PARTITION BY cube_id ORDER BY observation_index) - 1 AS INTEGER) AS new_index FROM o")
+def renumbered_observations(spark, d):
+    return obs.renumbered(obs.selected(cells(spark, d), SELECT).select("cube_id", "observation_index").distinct())
+
+
+@query("unassigned_pixels", f"WITH {PIXELS_SQL}, {TILES_SQL}, {OWNED_SQL} SELECT count(*) AS pixels, count(*) FILTER (tile_id IS NULL) AS unassigned FROM pixels LEFT JOIN owned USING (y, x) WHERE x <= 12")
+def unassigned_pixels(spark, d):
+    p = _pixels(spark, d).filter("x <= 12")
+    return p.join(mos.owned(p, _tiles(spark), 5.0), ["y", "x"], "left").agg(F.count("*").alias("pixels"), F.count_if(F.col("tile_id").isNull()).alias("unassigned"))
+
+
+@query("constant_count_map", f"WITH {PIXELS_SQL} SELECT y, x, CASE WHEN {BOX_SQL} THEN 7.0::DOUBLE END AS selected_count FROM pixels")
+def constant_count_map(spark, d):
+    return _pixels(spark, d).withColumn("selected_count", F.when(cov.in_box(*BOX), 7.0))
+
+
+@query("raster_rows", f"WITH {PIXELS_SQL} SELECT y, x, CAST(dense_rank() OVER (ORDER BY y DESC) - 1 AS INTEGER) AS row, CAST(dense_rank() OVER (ORDER BY x) - 1 AS INTEGER) AS col FROM pixels")
+def raster_rows(spark, d):
+    """North-up places of a raster's cells, by joins with the two short axes rather than a window over all cells."""
+    from pyspark.sql import Window
+
+    p = _pixels(spark, d)
+    axis = lambda c, order, name: p.select(c).distinct().withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)
+    return p.join(axis("y", F.col("y").desc(), "row"), "y").join(axis("x", F.col("x").asc(), "col"), "x").select("y", "x", "row", "col")
+
+
+@query("coordinate_summary", "SELECT 'x' AS axis, CAST(min(s_nationkey) AS BIGINT) AS low, CAST(max(s_nationkey) AS BIGINT) AS high, array_to_string(list_sort(list_distinct(list(s_nationkey)))[1:8], ',') AS first_values FROM supplier UNION ALL SELECT 'y', min(p_size), max(p_size), array_to_string(list_sort(list_distinct(list(p_size)))[1:8], ',') FROM part")
+def coordinate_summary(spark, d):
+    def axis(name, table, column):
+        c = F.col(column).cast("long")
+        first = F.array_join(F.slice(F.sort_array(F.collect_set(c)), 1, 8), ",")
+        return read(spark, d, table).agg(F.lit(name).alias("axis"), F.min(c).alias("low"), F.max(c).alias("high"), first.alias("first_values"))
+
+    return axis("x", "supplier", "s_nationkey").unionByName(axis("y", "part", "p_size"))
+
+
+@query("posterior_effective_dof_map", f"{NORMAL_SQL} SELECT y, x, round((a * (c + {PRIOR[1]}) + c * (a + {PRIOR[0]}) - 2 * b * b) / ((a + {PRIOR[0]}) * (c + {PRIOR[1]}) - b * b), 6) AS effective_dof FROM nm")
+def posterior_effective_dof_map(spark, d):
+    """One metric of the general path, batched numpy, against the closed form."""
+    return _general(spark, d, 1, list(PRIOR)).select("y", "x", F.round("effective_dof", 6).alias("effective_dof"))
