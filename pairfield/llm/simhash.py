@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import per_text, table
+from .common import per_text, table, written
 from .components import components
 
 SHINGLE = 3
@@ -98,8 +98,6 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     give a row each; a null doc_id gets the component of its fingerprint but never names one, unless no other member
     has an id. An empty table gives an empty result; other columns are ignored.
     """
-    from .common import written
-
     prints = written(fingerprints(docs, text))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp")))
@@ -112,12 +110,18 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that name their component: one row of each group stays, with all columns of docs.
 
-    Of rows equal in doc_id and text, one stays. A null doc_id stays only if its group has no other.
+    Of rows equal in doc_id and text, one stays. Rows with a null doc_id stay only where their group has no id at all,
+    and then one of each fingerprint. Texts are shuffled once, by id, for both steps.
     """
-    keep = near_duplicates(docs, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    found = near_duplicates(docs, text)
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi")
     same = Window.partitionBy("doc_id", text).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", text)] or [F.lit(0)])
-    return kept.withColumn("__first", F.row_number().over(same)).filter("__first = 1").drop("__first")
+    named = named.withColumn("__first", F.row_number().over(same)).filter("__first = 1").drop("__first")
+    unnamed = found.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("__lone")).distinct()
+    rest = per_text(docs.filter("doc_id IS NULL"), "__fp long", lambda: lambda texts: (fingerprints_of(texts),), tuple(docs.columns), text)
+    rest = rest.join(unnamed, rest["__fp"] == unnamed["__lone"], "left_semi").dropDuplicates(["__fp"])
+    return named.unionByName(rest.select(docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

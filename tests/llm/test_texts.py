@@ -242,6 +242,8 @@ def test_fingerprint_edges(spark):
     same = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (9, "q r s t u v w x")], DOCS)
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_duplicates(same).collect()) == [(-1, 4), (4, 4), (4, 4), (9, 9)]
     assert sorted(r["doc_id"] for r in simhash.one_of_each(same).collect()) == [4, 9]
+    nameless = spark.createDataFrame([(None, "a b c d"), (None, "A b c d"), (3, "q r s t u v w x")], DOCS)
+    assert sorted(r["doc_id"] or -1 for r in simhash.one_of_each(nameless).collect()) == [-1, 3]
 
 
 def test_long_chain_of_components(spark):
