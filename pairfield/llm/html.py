@@ -26,6 +26,8 @@ BLOCK = frozenset(
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input iframe svg canvas object head title menu dialog noembed noframes".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+#: Elements that pass the points of their text to their parents.
+LEAVES = frozenset("p pre td blockquote li dd dt figcaption".split())
 P_SCOPE = frozenset("table td th button object".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 #: Words of class, id and role that mark what is around an article.
@@ -38,6 +40,9 @@ AROUND = frozenset(
 #: Words that mark an article; an element with one of these isn't taken for what is around it.
 WITHIN = frozenset("article content main post story entry body text".split())
 
+#: An element with more than this share of a page's text isn't taken for what is around an article.
+MOST = 0.6
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -45,34 +50,36 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "points", "length", "linked", "in_link")
+    __slots__ = ("tag", "parent", "children", "drop", "soft", "points", "length", "linked", "in_link")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+        self.tag, self.parent, self.drop, self.soft = tag, parent, drop, False
         self.children: list = []
         self.points = self.length = self.linked = 0.0
         self.in_link = bool(parent) and (tag == "a" or parent.in_link)
 
 
-def _around(tag: str, attributes: str, within_article: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not within_article:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes or "=" not in attributes:
-        return False
-    words: set[str] = set()
+def _hidden(attributes: str) -> bool:
+    bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", bare) or re.search(r"aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", attributes, re.I))
+
+
+def _named_around(attributes: str) -> bool:
+    """Whether a class, id or role names what is around an article: its first or last word does, as in sidebar-left.
+
+    Words such as has or no before it tell of something else's place. An element that is also named as the article, by
+    another class, isn't around it.
+    """
+    around = within = False
     for m in _ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
-        if name in ("class", "id", "role"):
-            value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
-            words.update(w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", entities.unescape(value))))
-        if (name == "aria-hidden" and "true" in m[0].lower()) or (name == "style" and re.search(r"display\s*:\s*none", m[0], re.I)):
-            return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
-        return True
-    found = words & AROUND
-    return bool(found) and not (words & WITHIN and not found & {"comment", "comments", "ad", "ads", "advert", "sidebar", "footer", "nav", "menu", "related", "share", "cookie", "notice"})
+        if m[1].lower() in ("class", "id", "role"):
+            value = entities.unescape(m[2] if m[2] is not None else m[3] if m[3] is not None else m[4])
+            for name in value.split():
+                words = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
+                if words and words[0] not in ("has", "with", "no", "is", "without"):
+                    around |= words[0] in AROUND or words[-1] in AROUND
+                    within |= len(words) == 1 and words[0] in WITHIN
+    return around and not within
 
 
 def parse(source: str) -> Node:
@@ -116,7 +123,16 @@ def parse(source: str) -> Node:
             node = ended(node, {"p"}, P_SCOPE)
         if tag in CLOSES:
             node = ended(node, *CLOSES[tag])
-        child = Node(tag, node, node.drop or _around(tag, m[3], bool(opened["article"] or opened["main"])))
+        attributes = m[3]
+        outside = tag == "header" and not (opened["article"] or opened["main"])
+        child = Node(tag, node, node.drop or tag in DROPPED or outside or bool(attributes) and _hidden(attributes))
+        if tag in ("article", "main"):
+            up = node
+            while opened["#soft"] and up.parent is not None:
+                up.soft, up = False, up.parent
+        elif attributes and tag not in ("html", "body") and not child.drop and _named_around(attributes):
+            child.soft = True
+            opened["#soft"] += 1
         node.children.append(child)
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -167,19 +183,26 @@ def _blocks(node: Node) -> list[tuple[Node, str]]:
 
 
 def _measure(root: Node) -> None:
-    """Sets each element's length of kept text and of the part of it in links."""
+    """Sets each element's length of kept text and of the part of it in links.
+
+    Elements named as being around an article go, unless they hold most of the page's text.
+    """
     order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
         stack.extend(c for c in n.children if isinstance(c, Node) and not c.drop)
-    for n in reversed(order):
-        own = sum(len(_SPACE.sub(" ", c)) for c in n.children if isinstance(c, str))
-        n.length += own
-        n.linked += own if n.in_link else 0
-        if n.parent is not None:
-            n.parent.length += n.length
-            n.parent.linked += n.linked
+    for again in (False, True):
+        for n in reversed(order):
+            own = sum(len(_SPACE.sub(" ", c)) for c in n.children if isinstance(c, str))
+            inner = [c for c in n.children if isinstance(c, Node) and not c.drop]
+            n.length = own + sum(c.length for c in inner)
+            n.linked = (own if n.in_link else 0) + sum(c.linked for c in inner)
+        soft = [n for n in order if n.soft]
+        if again or not soft:
+            break
+        for n in soft:
+            n.drop = n.length <= MOST * root.length
 
 
 def _density(node: Node) -> float:
@@ -194,7 +217,7 @@ def extract(source: str) -> str:
     scored: dict[int, Node] = {}
     for holder, text in blocks:
         points = 1 + text.count(",") + min(len(text) / 100, 3.0)
-        leaf = holder.tag in ("p", "pre", "td", "blockquote", "li", "dd", "dt", "figcaption") or re.fullmatch("h[1-6]", holder.tag)
+        leaf = holder.tag in LEAVES or re.fullmatch("h[1-6]", holder.tag)
         up = holder.parent if leaf and holder.parent is not None else holder
         level = 0
         while up is not None and level < 6:
@@ -208,14 +231,21 @@ def extract(source: str) -> str:
     top = value[id(best)]
     kept = [best]
     if best.parent is not None and best.parent.tag != "#root":
-        kept = []
-        for s in best.parent.children:
-            if s is best:
+        kept, following = [], False
+        for s in reversed(best.parent.children):
+            if not isinstance(s, Node) or s.drop or not s.length:
+                continue
+            if s is not best:
+                if re.fullmatch("h[1-6]", s.tag):  # a heading goes with what follows it
+                    keep = following
+                elif s.tag in LEAVES:
+                    keep = s.length > 80 and _density(s) < 0.25
+                else:
+                    keep = value.get(id(s), 0.0) >= max(10.0, 0.2 * top)
+            following = s is best or keep
+            if following:
                 kept.append(s)
-            elif isinstance(s, Node) and not s.drop:
-                long_enough = s.tag == "p" and s.length > 80 and _density(s) < 0.25
-                if long_enough or value.get(id(s), 0.0) >= max(10.0, 0.2 * top):
-                    kept.append(s)
+        kept.reverse()
     return "\n".join(text for n in kept for _, text in _blocks(n))
 
 

@@ -329,3 +329,20 @@ def test_reference_spans(spark, monkeypatch):
         assert made.columns == d.columns
         assert [r["text"] for r in made.orderBy("a").collect()] == ["one two me", None, "", "any kind  is", "today, no warranty of any", "rights reserved"]
     assert automaton.without_reference(d.limit(0), reference, 5).collect() == []
+
+
+LONG = "A long paragraph, with commas, and words. " * 6
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body class='has-sidebar'><div class='content no-header'><h1>T</h1><p>{LONG}</p></div><div class='sidebar-left'><p>{LONG[:90]}</p></div>", ["T", LONG.strip()]),
+        (f"<body><div id=top-wrapper class=header><main><p>{LONG}</p></main></div>", [LONG.strip()]),
+        (f"<body><div class=comments><p>{LONG}</p><p>{LONG}</p></div>", [LONG.strip()] * 2),
+        (f"<body><div id=c><h1>T</h1><section><h2>a</h2><p>{LONG}</p></section><section><h2>b</h2><p>{LONG}</p></section></div><h2>Related</h2><ul><li><a href=x>one</a></ul>", ["T", "a", LONG.strip(), "b", LONG.strip()]),
+        (f"<article><header><h1>T</h1></header><p>{LONG}</p><div class='share-bar'>Share, this</div><div id='commentList'><p>{LONG[:60]}</p></div><p hidden>x</p><p style='display:none'>y</p></article>", ["T", LONG.strip()]),
+    ],
+)
+def test_what_is_around(page, want):
+    assert html.extract(page) == "\n".join(want)
