@@ -39,7 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like cut(), as a Parquet table in the shared folder: columnar and compressed, for wide rows."""
+    """Like cut(), as a Parquet table in the shared folder: columnar and compressed, for wide rows.
+
+    Tables stay there under stage-*, as lazy results may still need them; whoever owns the folder clears it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -89,7 +92,7 @@ def per_text(
     nothing depends on how rows are dealt to tasks. The texts arrive as bytes or None.
     """
     key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out = ", ".join([*(f"{k} {key_types[k]}" for k in keys), schema])
+    out = ", ".join([*(f"`{k}` {key_types[k]}" for k in keys), schema])
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -104,7 +107,7 @@ def per_text(
                 columns += [pa.array(x, type=target.field(len(keys) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    picked = df.select(*[F.col(k) for k in keys], F.col(text).cast("string").cast("binary").alias("__text"))
+    picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").cast("binary").alias("__text"))
     return picked.mapInArrow(run, out)
 
 

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MAX_ROUNDS = 60
+#: Shares into which the nodes of one label are dealt when labels are looked up: a component may hold most nodes.
+SALTS = 16
+
+
+def _jumped(labels: DataFrame) -> DataFrame:
+    """Labels replaced by their own labels. Only labels that have moved on are looked up, and salted on both sides."""
+    moved = labels.filter("node <> root").select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    moved = moved.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    found = salted.join(moved, (salted["root"] == moved["__n"]) & (salted["salt"] == moved["__salt"]), "left")
+    return found.select("node", F.coalesce("__r", "root").alias("root"))
 
 
 def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -23,9 +34,7 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     for _ in range(max_rounds):
         heard = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "root")
         lower = heard.unionByName(labels).groupBy("node").agg(F.min("root").alias("root"))
-        jump = lower.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        jumped = lower.join(jump, lower["root"] == jump["__n"]).select("node", F.least("root", "__r").alias("root"))
-        after = cut(jumped)
+        after = cut(_jumped(cut(lower)))
         old = labels.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
         changed = after.join(old, (F.col("node") == F.col("__n")) & (F.col("root") != F.col("__r"))).limit(1).count()
         labels = after
