@@ -134,3 +134,34 @@ def aligned(low: float, high: float, resolution: float, phase: float = 0.0) -> t
 def nearest_index(at: Column, origin: Column, step: Column, size: Column) -> Column:
     """The nearest cell's index, halves to even, clipped to the grid."""
     return F.least(F.greatest(F.rint((at - origin) / step).cast("long"), F.lit(0).cast("long")), (size - 1).cast("long"))
+
+
+def spherical_area(ring: Ring, radius: float = 6_371_007.2) -> float:
+    """The area in square metres of a ring of longitudes and latitudes on the sphere of equal area."""
+    total = 0.0
+    for (lon0, lat0), (lon1, lat1) in zip(ring, ring[1:], strict=False):
+        turn = math.radians((lon1 - lon0 + 180) % 360 - 180)
+        total += turn * (2 + math.sin(math.radians(lat0)) + math.sin(math.radians(lat1)))
+    return abs(total) * radius**2 / 2
+
+
+def polar_point(lon: float, lat: float) -> tuple[float, float]:
+    """to_polar() for one place of a region's outline."""
+    e = ECCENTRICITY
+
+    def t(phi: float) -> float:
+        s = e * math.sin(phi)
+        return math.tan(math.pi / 4 + phi / 2) / ((1 + s) / (1 - s)) ** (e / 2)
+
+    f = math.radians(TRUE_SCALE_LATITUDE)
+    rho = SEMI_MAJOR * math.cos(f) / math.sqrt(1 - (e * math.sin(f)) ** 2) * t(math.radians(lat)) / t(f)
+    return rho * math.sin(math.radians(lon)), rho * math.cos(math.radians(lon))
+
+
+def projected_envelope(west: float, south: float, east: float, north: float, per_edge: int = 101) -> tuple[float, float, float, float]:
+    """The box in grid coordinates around a box of longitudes and latitudes, from its densified outline."""
+    points = [polar_point(*p) for p in densified_ring(west, south, east, north, per_edge)]
+    if not all(math.isfinite(v) for p in points for v in p):
+        raise ValueError("the outline leaves the projection")
+    xs, ys = zip(*points, strict=True)
+    return min(xs), min(ys), max(xs), max(ys)

@@ -88,3 +88,7 @@ def spacing(axis: DataFrame, by: str, at: str) -> DataFrame:
     rows = axis.withColumn("__step", step)
     low, high = F.min("__step"), F.max("__step")
     return rows.groupBy(by).agg(F.count("*").alias("n_points"), low.alias("min_step"), high.alias("max_step"), (high - low <= 1e-9 * F.abs(high)).alias("regular"))
+
+
+#: Resampling methods by name.
+RESAMPLING = {"nearest": nearest_order, "bilinear": bilinear, "cubic": cubic}

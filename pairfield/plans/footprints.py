@@ -71,3 +71,11 @@ def violations(coverage: DataFrame, opportunity: DataFrame) -> DataFrame:
     rows = coverage.join(opportunity, ["y", "x"], "left").withColumn("o", F.coalesce("opportunity_count", F.lit(0)))
     over = F.col("valid_count") - F.col("o")
     return rows.agg(F.count("*").alias("pixels"), F.count_if(over > 0).alias("violations"), F.coalesce(F.max(over), F.lit(0)).cast("long").alias("max_excess"), F.sum("o").cast("long").alias("opportunities"))
+
+
+def summary(pairs: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """One row: distinct pairs and scenes, and pairs whose footprints meet."""
+    scenes = pairs.select(F.explode(F.array("scene1", "scene2")).alias("scene"))
+    left = pairs.agg(F.count_distinct("pair_id").alias("unique_pairs"))
+    middle = scenes.agg(F.count_distinct("scene").alias("unique_scenes"))
+    return left.crossJoin(middle).crossJoin(overlaps.agg(F.count_distinct("pair_id").alias("nonempty_overlaps")))  # one row each

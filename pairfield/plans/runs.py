@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +56,31 @@ def export(cells: DataFrame, region, variables: list[str], path: str, overwrite:
 def stack(granules: DataFrame) -> DataFrame:
     """Numbers granules by time, then name, from 0, within each group."""
     return granules.withColumn("time_index", F.row_number().over(Window.partitionBy("group").orderBy("time", "name")) - 1)
+
+
+def write_cell_cache(cells: DataFrame, path: str, run: str, overwrite: bool = False) -> None:
+    """Validity and error of selected cells, with the run's fingerprint, for later plans over the same selection."""
+    rows = cells.select("cube_id", "observation_index", "y", "x", "valid", F.col("sigma").cast("float").alias("sigma"))
+    rows.withColumn("fingerprint", F.lit(run)).write.partitionBy("cube_id").parquet(path, mode="overwrite" if overwrite else "error")
+
+
+def open_cell_cache(cells: DataFrame, path: str, run: str, floor: float = 0.0, mode: str = "auto") -> tuple[DataFrame, str]:
+    """Cached cells if they are of this run, else those given (valid and sigma), and why; errors raised to a floor.
+
+    mode: auto, require (a cache that doesn't fit is an error) or off.
+    """
+    if mode not in ("auto", "require", "off"):
+        raise ValueError("a cache is auto, require or off")
+    spark, why, rows = cells.sparkSession, "off", cells
+    if mode != "off":
+        try:
+            cached = spark.read.parquet(path)
+            other = cached.filter(F.col("fingerprint") != run).limit(1).count()
+            why = "of another run" if other else "used"
+            rows = cells if other else cached.drop("fingerprint")
+        except AnalysisException:
+            why = "absent"
+        if mode == "require" and why != "used":
+            raise ValueError(f"the cell cache is {why}")
+    sigma = F.when(F.col("sigma").isNotNull(), F.greatest(F.abs("sigma"), F.lit(float(floor))))
+    return rows.withColumn("sigma", sigma), why

@@ -742,3 +742,8 @@ def coordinate_summary(spark, d):
 def posterior_effective_dof_map(spark, d):
     """One metric of the general path, batched numpy, against the closed form."""
     return _general(spark, d, 1, list(PRIOR)).select("y", "x", F.round("effective_dof", 6).alias("effective_dof"))
+
+
+@query("template_summary", f"WITH {TEMPLATE_SQL}, s AS (SELECT t, t - lag(t) OVER (ORDER BY t) AS step FROM template) SELECT count(*) AS n_times, min(t) AS first, max(t) AS last, round(CAST(quantile_cont(step, 0.5) AS DOUBLE), 9) AS median_step, max(step) - min(step) <= 1e-6 * max(step) AS uniform FROM s")
+def template_summary(spark, d):
+    return inversion.template_summary(_template(spark)).withColumn("median_step", F.round("median_step", 9))

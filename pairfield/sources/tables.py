@@ -65,3 +65,12 @@ def describe(df: DataFrame, sample: int = 8) -> DataFrame:
         first = F.slice(F.sort_array(F.collect_set(c)), 1, sample) if kind in ("boolean", "tinyint") else F.array(F.min(c), F.max(c))
         stats.append(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.count(c).alias("n"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"), first.cast("array<string>").alias("values")))
     return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
+def write_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    df.write.json(path, mode="overwrite" if overwrite else "error", ignoreNullFields=False)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files, worked out where they are read."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

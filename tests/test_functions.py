@@ -89,3 +89,12 @@ def test_projection_round_trip(spark):
 def test_nearest_index_halves_to_even(spark):
     df = spark.createDataFrame([(0.5,), (1.5,), (-4.0,), (99.0,)], "v double")
     assert [r[0] for r in df.select(geo.nearest_index(F.col("v"), F.lit(0.0), F.lit(1.0), F.lit(8))).collect()] == [0, 2, 0, 7]
+
+
+def test_areas_and_envelopes(spark):
+    quarter = geo.densified_ring(0, 0, 90, 90, 50)
+    assert geo.spherical_area(quarter) == pytest.approx(math.pi / 2 * 6_371_007.2**2, rel=1e-3)
+    x, y = geo.to_polar(F.lit(100.0), F.lit(-68.0))
+    assert geo.polar_point(100.0, -68.0) == pytest.approx((one(spark, x), one(spark, y)))
+    west, south, east, north = geo.projected_envelope(99, -69, 101, -67)
+    assert west < one(spark, x) < east and south < one(spark, y) < north

@@ -74,3 +74,29 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.run_available(ingest.running_counts(stream), "cells_so_far", str(tmp_path / "ck")).awaitTermination()
     key = lambda r: (r["y"], r["x"], r["valid_count"])
     assert sorted(map(key, spark.table("cells_so_far").collect())) == sorted(map(key, ingest.running_counts(cells).collect()))
+
+
+def test_cell_cache(spark, tmp_path):
+    cells = spark.createDataFrame([("a", 3, 4, 1, True, 1.0), ("a", 8, 4, 2, False, -4.0), ("a", 8, 4, 3, True, None)], "cube_id string, observation_index long, y long, x long, valid boolean, sigma double")
+    path = str(tmp_path / "cache")
+    assert runs.open_cell_cache(cells, path, "f")[1] == "absent"
+    with pytest.raises(ValueError):
+        runs.open_cell_cache(cells, path, "f", mode="require")
+    runs.write_cell_cache(cells, path, "f")
+    rows, why = runs.open_cell_cache(cells, path, "f", floor=1.5)
+    assert why == "used" and sorted((r["x"], r["sigma"]) for r in rows.collect()) == [(1, 1.5), (2, 4.0), (3, None)]
+    assert runs.open_cell_cache(cells, path, "other")[1] == "of another run" and runs.open_cell_cache(cells, path, "f", mode="off")[1] == "off"
+
+
+def test_footprint_summary(spark):
+    pairs = spark.createDataFrame([("p", "s", "t"), ("q", "s", "u")], "pair_id string, scene1 string, scene2 string")
+    assert footprints.summary(pairs, pairs.filter("pair_id = 'p'")).first().asDict() == {"unique_pairs": 2, "unique_scenes": 3, "nonempty_overlaps": 1}
+
+
+def test_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    assert tables.file_digests(spark, str(tmp_path / "f.bin")).first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    tables.write_json_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"))
+    assert tables.read_json(spark, str(tmp_path / "j"), "a int, b string").first()["a"] == 1
