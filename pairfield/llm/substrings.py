@@ -1,13 +1,14 @@
 """Exact repeated passages: every window of words that also starts earlier in the corpus is removed.
 
-Anchors (the least hash of each window's short grams) find windows that can recur: equal windows have equal anchors, so
-a window whose anchor no other place has is unique. Only windows with a recurring anchor are compared, by 128-bit hashes
-of their words, and only the first document of each distinct one is sent back. Every grouping combines before its
-shuffle, and no group of equal passages is ever gathered.
+Later copies of whole documents go by a digest. For the rest, anchors (the least hash of each window's short grams) find
+windows that can recur: equal windows have equal anchors, so a window whose anchor no other place has is unique. Only
+windows with a recurring anchor are compared, by 96 bits of hashes of their words, and only the first document of each
+distinct one is sent back. Every grouping combines before its shuffle, and no group of equal passages is ever gathered.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -23,10 +24,12 @@ from .common import cut, slices, table, written
 WINDOW = 20
 #: Words of the grams from which anchors are chosen.
 GRAM = 6
-#: Odd multipliers of the two hashes, fixed values.
+#: Odd multipliers of the two hashes, fixed values; of the second, the upper 32 bits are used.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Where a null doc_id stands: after all others.
 LAST_ID = (1 << 63) - 1
+#: Shares into which copies of one document are dealt when their first one is looked up.
+SALTS = 32
 #: Documents that are worked on at once, if they aren't long.
 SLICE = 256
 
@@ -109,21 +112,25 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _anchored(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, anchors, own): a document's distinct anchors, and those of them that it has at several places itself."""
+    """(doc, anchors, own, d1, d2): a document's distinct anchors, those of them that it has at several places itself, and
+    a digest of its words; for documents of a window at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            keys, found = [], []
+            keys, found, digests = [], [], []
             for key, ids in zip(part.column(0).to_pylist(), word_hashes([t or b"" for t in part.column(1).to_pylist()]), strict=True):
                 if len(ids) >= WINDOW:
                     every = anchors(ids)[1]
                     again = every[1:] == every[:-1]
                     keys.append(key)
                     found.append((every[np.append(True, ~again)], np.unique(every[1:][again])))
+                    digests.append(hashlib.blake2b(ids.tobytes(), digest_size=16).digest())
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(_lists([f[i] for f in found]) for i in (0, 1))], names=["doc", "anchors", "own"])
+                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                columns = [pa.array(keys, pa.int64()), *(_lists([f[i] for f in found]) for i in (0, 1)), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "anchors", "own", "d1", "d2"])
 
-    return _keyed(docs, text).mapInArrow(run, "doc long, anchors array<long>, own array<long>")
+    return _keyed(docs, text).mapInArrow(run, "doc long, anchors array<long>, own array<long>, d1 long, d2 long")
 
 
 def _window_rows(packed: DataFrame) -> DataFrame:
@@ -146,11 +153,11 @@ def _window_rows(packed: DataFrame) -> DataFrame:
                 first = np.unique(h1, return_index=True)[1]
                 keys.append(np.full(len(first), key, np.int64))
                 one.append(h1[first].view(np.int64))
-                two.append(h2[first].view(np.int64))
+                two.append((h2[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, one, two)], names=["doc", "h1", "h2"])
 
-    return packed.select("doc", "z", "recurring").mapInArrow(run, "doc long, h1 long, h2 long")
+    return packed.select("doc", "z", "recurring").mapInArrow(run, "doc long, h1 long, h2 int")
 
 
 def covered(ids: np.ndarray, recurring: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -178,11 +185,16 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     by its id, in proportion to its own length; nothing else is.
     """
     anchored = written(_anchored(docs, text))
+    originals = anchored.groupBy("d1", "d2").agg(F.min("doc").alias("__first"), F.count("*").alias("n")).filter("n > 1")
+    originals = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = anchored.select("doc", "d1", "d2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    later = copies.join(originals, ["d1", "d2", "salt"]).filter("doc > __first").select("doc", F.lit(True).alias("later"))
     pairs = anchored.select("doc", F.explode("anchors").alias("anchor"))
     twice = pairs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     met = pairs.join(twice, "anchor", "left_semi").unionByName(anchored.select("doc", F.explode("own").alias("anchor")))
-    recurring = cut(met.groupBy("doc").agg(F.collect_set("anchor").alias("recurring")))
-    packed = _packed(docs, text).join(recurring, "doc", "left")  # both uses share one shuffle of the texts
+    recurring = met.groupBy("doc").agg(F.collect_set("anchor").alias("recurring")).join(later.distinct(), "doc", "full_outer")
+    marks = cut(recurring.select("doc", F.when(F.col("later").isNull(), F.col("recurring")).alias("recurring"), "later"))
+    packed = _packed(docs, text).join(marks, "doc", "left")  # both uses share one shuffle of the texts
     first = _window_rows(packed).groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
     firsts = first.groupBy("doc").agg(F.collect_list("h1").alias("firsts"))
     joined = packed.join(firsts, "doc", "left")
@@ -198,13 +210,17 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             n, gone, kept = [], [], []
             for i, t in enumerate(texts):
                 words = t.split()
-                drop = covered(ids[i], _numbers(part.column(2)[i]), _numbers(part.column(3)[i])) if i in ids else None
                 n.append(len(words))
+                if part.column(3)[i].is_valid:
+                    gone.append(len(words))
+                    kept.append("")
+                    continue
+                drop = covered(ids[i], _numbers(part.column(2)[i]), _numbers(part.column(4)[i])) if i in ids else None
                 gone.append(0 if drop is None else int(drop.sum()))
                 kept.append(b" ".join(compress(words, (~drop).tolist()) if gone[-1] else words).decode())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
 
-    made = joined.select("doc", "z", "recurring", "firsts").mapInArrow(run, "doc long, n_words long, n_removed long, kept string")
+    made = joined.select("doc", "z", "recurring", "later", "firsts").mapInArrow(run, "doc long, n_words long, n_removed long, kept string")
     return made.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
