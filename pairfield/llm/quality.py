@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .arrays import character_grams, pieces, word_hashes
 from .common import fold, per_text, rows_where, table
