@@ -12,7 +12,7 @@ from .common import per_text, table
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Chunks whose counts a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Symbols that are merged at once in one array.
 BATCH_SYMBOLS = 1 << 20
 
@@ -46,19 +46,54 @@ def load(path: str) -> dict:
     return {"base": base, "first": first, "keys": keys[order], "rank": order.astype(np.int64), "made": made[order], "specials": specials}
 
 
+class PairTable:
+    """Ranks and results of pairs in an open-addressed table, for looking up many keys at once."""
+
+    def __init__(self, keys: np.ndarray, rank: np.ndarray, made: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.rank, self.made = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # each round the first key at every free slot settles, the rest moves on
+            first = np.unique(slot, return_index=True)[1]
+            won = first[self.key[slot[first]] < 0]
+            at = slot[won]
+            self.key[at], self.rank[at], self.made[at] = keys[left[won]], rank[left[won]], made[left[won]]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, slot = left[stay], (slot[stay] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        slot = self._slot(keys)
+        there = self.key[slot]
+        out = np.where(there == keys, slot, -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & self.last
+            there, wanted = self.key[slot], keys[open_]
+            out[open_[there == wanted]] = slot[there == wanted]
+            more = (there != wanted) & (there >= 0)
+            open_, slot = open_[more], slot[more]
+        return out
+
+
 class Counter:
     """Counts tokens of pre-tokens, many at once."""
 
     def __init__(self, tables: dict):
-        self.base, self.first, self.keys, self.rank, self.made = (tables[k] for k in ("base", "first", "keys", "rank", "made"))
-        self.none = len(self.keys)
+        self.base, self.first, self.none = tables["base"], tables["first"], len(tables["keys"])
+        self.table = PairTable(tables["keys"], tables["rank"], tables["made"])
 
     def _ranks(self, symbols: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rank of each symbol with its right neighbour, and the merge's index; none at a sequence's end."""
-        key = symbols[:-1] * self.base + symbols[1:]
-        at = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
-        hit = (self.keys[at] == key) & (seq[:-1] == seq[1:])
-        return np.where(hit, self.rank[at], self.none), at
+        """The rank of each symbol with its right neighbour, and the merge's slot; none at a sequence's end."""
+        slot = self.table.find(symbols[:-1] * self.base + symbols[1:])
+        return np.where((slot >= 0) & (seq[:-1] == seq[1:]), self.table.rank[slot], self.none), slot
 
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         """The number of symbols that survive all merges, for each piece.
@@ -72,7 +107,7 @@ class Counter:
         symbols = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
         seq = np.repeat(np.arange(len(pieces)), lengths)
         while len(symbols) > 1:
-            rank, at = self._ranks(symbols, seq)
+            rank, slot = self._ranks(symbols, seq)
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             lowest = np.minimum.reduceat(np.append(rank, self.none), starts)
             live = lowest < self.none
@@ -89,7 +124,7 @@ class Counter:
                 run = np.maximum.accumulate(np.where(head, place, -1))
                 take &= (place - run) % 2 == 0
             left = np.flatnonzero(take)
-            symbols[left] = self.made[at[left]]
+            symbols[left] = self.table.made[slot[left]]
             keep = np.ones(len(symbols), bool)
             keep[left + 1] = False
             out -= np.bincount(seq[left], minlength=len(out))
@@ -134,14 +169,21 @@ def counter_of_texts(tables: dict):
     def count(texts: list) -> list[int]:
         if len(seen) > REMEMBERED:
             seen.clear()
-        found, fixed = [], []
+        out, new, late = [], set(), []
         for raw in texts:
             text = (raw or b"").decode("utf-8", "replace")
             parts = specials.split(text) if specials else [text]
-            fixed.append(len(parts) - 1)
-            found.append([c for part in parts for c in chunks(part)])
-        learn(list({c for cs in found for c in cs if c not in seen}))
-        return [n + sum(map(seen.__getitem__, cs)) for n, cs in zip(fixed, found, strict=True)]
+            every = chunks(parts[0]) if len(parts) == 1 else [c for part in parts for c in chunks(part)]
+            known = list(map(seen.get, every))
+            if None in known:
+                new.update(c for c, n in zip(every, known, strict=True) if n is None)
+                late.append((len(out), every))
+                known = [0]
+            out.append(len(parts) - 1 + sum(known))
+        learn(list(new))
+        for i, every in late:
+            out[i] += sum(map(seen.__getitem__, every))
+        return out
 
     return count
 
