@@ -27,30 +27,58 @@ def pieces(text: bytes, limit: int = PIECE) -> list[bytes]:
     return [*out, text[at:]]
 
 
-def word_hashes(texts: list[bytes], gaps: np.ndarray = SPACE) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text, which are runs of bytes that aren't gaps.
-
-    A hash is a sum over a word's bytes, each by its place, then mixed; it depends on the word alone. A space is a gap.
-    """
-    if sum(map(len, texts)) > 2 * PIECE:
-        return [np.concatenate([word_hashes([p], gaps)[0] for p in pieces(t)]) for t in texts]
+def _letters(texts: list[bytes], gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of all texts: lengths, where each begins among the letters, letters' places in their words, what each
+    letter adds to its word's hash, and the number of words up to each text's end."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     gap = gaps[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if not gap[0]:
         edge = np.concatenate([[0], edge])
     starts, lengths = edge[::2], edge[1::2] - edge[::2]
-    if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
     at = np.cumsum(lengths) - lengths
-    place = np.full(int(lengths.max()), _PLACE)
-    place[0] = 1
-    place = np.multiply.accumulate(place)
     letters = data[~gap]
-    sums = np.add.reduceat(_BYTES[letters] * place[np.arange(len(letters)) - np.repeat(at, lengths)], at)
+    place = np.arange(len(letters)) - np.repeat(at, lengths)
+    powers = np.full(int(lengths.max(initial=1)), _PLACE)
+    powers[0] = 1
+    return lengths, at, place, _BYTES[letters] * np.multiply.accumulate(powers)[place], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+
+
+def _mixed(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     hashes = (sums ^ (sums >> np.uint64(32))) * _PLACE + lengths.astype(np.uint64)
-    hashes ^= hashes >> np.uint64(29)
-    return np.split(hashes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))[:-1])
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def word_hashes(texts: list[bytes], gaps: np.ndarray = SPACE) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, which are runs of bytes that aren't gaps.
+
+    A hash is a sum over a word's bytes, each by its place, then mixed; it depends on the word alone. A space is a gap.
+    """
+    if sum(map(len, texts)) > 2 * PIECE:
+        return [np.concatenate([word_hashes([p], gaps)[0] for p in pieces(t)]) for t in texts]
+    lengths, at, _, adds, ends = _letters(texts, gaps)
+    if not len(lengths):
+        return [np.zeros(0, np.uint64) for _ in texts]
+    return np.split(_mixed(np.add.reduceat(adds, at), lengths), ends[:-1])
+
+
+def word_starts(texts: list[bytes], sizes: tuple[int, ...], gaps: np.ndarray) -> list[np.ndarray]:
+    """For each text, hashes of its words and of their first so many bytes, where they have as many; in no order."""
+    if sum(map(len, texts)) > 2 * PIECE:
+        return [np.concatenate([word_starts([p], sizes, gaps)[0] for p in pieces(t)]) for t in texts]
+    lengths, at, place, adds, ends = _letters(texts, gaps)
+    if not len(lengths):
+        return [np.zeros(0, np.uint64) for _ in texts]
+    of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    hashes, texts_of = [_mixed(np.add.reduceat(adds, at), lengths)], [of]
+    for n in sizes:
+        long = lengths >= n
+        part = np.add.reduceat(np.where(place < n, adds, np.uint64(0)), at)[long]
+        hashes.append(_mixed(part, np.full(len(part), 1000 + n)))
+        texts_of.append(of[long])
+    every, of = np.concatenate(hashes), np.concatenate(texts_of)
+    order = np.argsort(of, kind="stable")
+    return np.split(every[order], np.cumsum(np.bincount(of, minlength=len(texts)))[:-1])
 
 
 def character_grams(texts: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:

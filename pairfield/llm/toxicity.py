@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import NOT_ALNUM, word_starts
 from .common import fold, per_text, table
 from .training import labels_outside, texts_of, thinned
 
@@ -17,31 +17,16 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 POSITIVE_ROWS, UNLABELLED_ROWS = 2_000, 10_000
 BUCKETS, EPOCHS, BATCH, RATE, DECAY, SEED = 1 << 18, 100, 1024, 0.25, 1e-5, 11
 #: Only features that so many toxic documents have, more than by chance by so many standard deviations, get a weight.
-LEAST_TOXIC, LEAST_SIGMAS = 3, 3.0
+LEAST_TOXIC, LEAST_SIGMAS = 4, 4.0
 #: Beginnings of words that are features besides the words.
 STARTS = (3, 4, 5, 6)
-#: Words whose scores a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
 
-_EDGES = re.compile(r"^\W+|\W+$")
 
-
-def core(word: bytes) -> str:
-    """A word in lower case without what is around its letters and digits."""
-    return _EDGES.sub("", word.decode("utf-8", "replace").lower())
-
-
-def features_of(word: str) -> list[int]:
-    import xxhash
-
-    parts = [f"={word}", *(f"{n}{word[:n]}" for n in STARTS if len(word) >= n)] if word else []
-    return [xxhash.xxh32_intdigest(p.encode()) % BUCKETS for p in parts]
-
-
-def bag(text: bytes) -> np.ndarray:
-    """The features of the document's distinct words, each once."""
-    found = {f for w in {core(w) for w in set(text.split())} for f in features_of(w)}
-    return np.array(sorted(found), np.int32)
+def bags(texts: list) -> list[np.ndarray]:
+    """For each UTF-8 text, the features of its distinct words, each once; words are in lower case, without punctuation."""
+    lower = [(t or b"").decode("utf-8", "replace").lower().encode() for t in texts]
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    return [np.unique((h * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32) for h in word_starts(lower, STARTS, NOT_ALNUM)]
 
 
 class _Rows:
@@ -68,7 +53,7 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple
     """
     if not positive or not unlabelled:
         return np.zeros(BUCKETS), math.log((prior + 1e-3) / (1 - prior + 1e-3))
-    pos, unl = [bag(t) for t in positive], [bag(t) for t in unlabelled]
+    pos, unl = ([b for at in range(0, len(x), 256) for b in bags(x[at : at + 256])] for x in (positive, unlabelled))
     in_pos, in_unl = (np.bincount(np.concatenate(b), minlength=BUCKETS) for b in (pos, unl))
     by_chance = (in_unl + 1) * (len(pos) / len(unl))
     telling = np.flatnonzero((in_pos >= LEAST_TOXIC) & (in_pos - by_chance > LEAST_SIGMAS * np.sqrt(by_chance + 1)))
@@ -116,23 +101,11 @@ def calibrated(logits: np.ndarray, prior: float) -> float:
 
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def _learn(self, raw: bytes) -> tuple[int, ...]:
-        found = self.known[raw] = tuple(features_of(core(raw)))
-        return found
+        self.weights, self.bias = weights, bias
 
     def __call__(self, texts: list) -> list[float]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out, known = [], self.known
-        for text in texts:
-            rows: set[int] = set()
-            for w in set((text or b"").split()):
-                rows.update(known.get(w) or self._learn(w))
-            logit = self.weights[np.fromiter(rows, np.int64, len(rows))].sum() + self.bias
-            out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, logit)))))
-        return out
+        logits = np.array([self.weights[b].sum() for b in bags(texts)]) + self.bias
+        return (1 / (1 + np.exp(-np.clip(logits, -60, 60)))).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[np.ndarray, float]:
