@@ -73,12 +73,15 @@ def selected(observations: DataFrame, s: Selection) -> DataFrame:
 
 
 def funnel(observations: DataFrame, s: Selection) -> DataFrame:
-    """One row: how many observations there are and remain after each filter, from one scan."""
-    counts, kept = [F.count("*").alias("observations_in_cube")], F.lit(True)
-    for name, keep in stages(s):
-        kept = kept & F.coalesce(keep, F.lit(False))
-        counts.append(F.count_if(kept).alias(name))
-    return observations.agg(*counts)
+    """One row: how many observations there are and remain after each filter, from one scan.
+
+    Each row becomes the number of filters that it passes in a row, so a filter is worked out once and only as far as needed.
+    """
+    names = [name for name, _ in stages(s)]
+    passed = F.lit(len(names))
+    for i, (_, keep) in reversed(list(enumerate(stages(s)))):
+        passed = F.when(keep, passed).otherwise(i)
+    return observations.select(passed.alias("__n")).agg(F.count("*").alias("observations_in_cube"), *[F.count_if(F.col("__n") > i).alias(name) for i, name in enumerate(names)])
 
 
 def check_selection(observations: DataFrame, s: Selection) -> None:
