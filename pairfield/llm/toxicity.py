@@ -16,8 +16,9 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Confirmed toxic and unlabelled documents to train on, about; chosen by a hash of the id.
 POSITIVE_ROWS, UNLABELLED_ROWS = 2_000, 10_000
 BUCKETS, EPOCHS, BATCH, RATE, DECAY, SEED = 1 << 18, 100, 1024, 0.25, 1e-5, 11
-#: Only features that so many toxic documents have, more than by chance by so many standard deviations, get a weight.
-LEAST_TOXIC, LEAST_SIGMAS = 4, 4.0
+#: Only features that so many toxic documents have, more than by chance by so many standard deviations, and of
+#: whose documents so large a share is toxic, get a weight.
+LEAST_TOXIC, LEAST_SIGMAS, LEAST_SHARE = 4, 3.5, 0.6
 #: Beginnings of words that are features besides the words.
 STARTS = (3, 4, 5, 6)
 
@@ -48,7 +49,8 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple
 
     The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). Where the second term falls below zero, the step goes
     against it instead, so that the model doesn't fit unlabelled texts beyond what the class prior allows. Each
-    feature's rate falls with its own gradients. Last, the bias is moved so that THRESHOLD meets
+    feature's rate falls with its own gradients. Features were chosen for what toxic texts have more often, so no weight
+    falls below zero: the many words of a long text can't outvote a toxic one. Last, the bias is moved so that THRESHOLD meets
     the prior better: see calibrated().
     """
     if not positive or not unlabelled:
@@ -56,7 +58,8 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple
     pos, unl = ([b for at in range(0, len(x), 256) for b in bags(x[at : at + 256])] for x in (positive, unlabelled))
     in_pos, in_unl = (np.bincount(np.concatenate(b), minlength=BUCKETS) for b in (pos, unl))
     by_chance = (in_unl + 1) * (len(pos) / len(unl))
-    telling = np.flatnonzero((in_pos >= LEAST_TOXIC) & (in_pos - by_chance > LEAST_SIGMAS * np.sqrt(by_chance + 1)))
+    share = prior * in_pos / by_chance  # of the documents with a feature, toxic ones as estimated
+    telling = np.flatnonzero((in_pos >= LEAST_TOXIC) & (in_pos - by_chance > LEAST_SIGMAS * np.sqrt(by_chance + 1)) & (share > LEAST_SHARE))
     if not len(telling):
         return np.zeros(BUCKETS), math.log(prior / (1 - prior))
     number = np.full(BUCKETS, -1)
@@ -79,7 +82,7 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tuple
             touched = np.bincount(fu, minlength=n) + np.bincount(fp, minlength=n) > 0
             step = np.where(touched, np.bincount(fu, su[ru], n) + np.bincount(fp, sp[rp], n) + DECAY * weights, 0.0)
             seen += step**2
-            weights -= RATE * step / np.sqrt(seen)
+            weights = np.maximum(0.0, weights - RATE * step / np.sqrt(seen))
             step = sp.sum() + su.sum()
             seen_bias += step**2
             bias -= RATE * step / math.sqrt(seen_bias)
