@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores the copies."""
+"""Benchmark decontamination: counts of shared n-grams join documents to test items, Smith-Waterman alignment scores the copies."""
 
 from __future__ import annotations
 
@@ -12,12 +12,8 @@ from pyspark.sql import functions as F
 from .arrays import NOT_ALNUM, word_hashes
 from .common import rows_where, slices, table
 
-#: Words of a seed.
-SEED_WORDS = 3
-#: The rarest seeds of an item are used: this share of them, and so many at least.
-RARE_SHARE, LEAST_SEEDS = 0.6, 12
-#: Seeds that an item and a stretch of a document must share before they are aligned.
-SHARED_SEEDS = 2
+#: Seeds that more items than this share are left out, as far as no copy can be missed for it.
+COMMON = 64
 #: Items with fewer words match too much by chance to be judged.
 LEAST_WORDS = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -35,7 +31,7 @@ def words_of(texts: list) -> list[np.ndarray]:
     return word_hashes([(t or b"").decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM)
 
 
-def grams(ids: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
+def grams(ids: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words."""
     if len(ids) < n:
         return np.zeros(0, np.uint64)
@@ -95,86 +91,118 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _seen(docs: DataFrame, wanted: np.ndarray, text: str) -> dict[int, int]:
-    """In how many documents each of the wanted hashes occurs; counted by task, then summed. Bounded by the wanted ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _bounds(n: int, threshold: float) -> tuple[int, int, int, int]:
+    """Of an alignment of n item words that reaches the threshold: least score, words of a seed, least seeds in it, most words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(shared.value)
-        count = np.zeros(len(look.values), np.int64)
-        for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                for ids in words_of(part.column(0).to_pylist()):
-                    _, spot = look.find(grams(ids))
-                    count[np.unique(spot)] += 1
-        has = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(look.values[has].view(np.int64)), pa.array(count[has])], names=["g", "n"])
+    Let it match m words, with e errors. A match gives 2 and an error takes 1, so e <= 2m - score. The matches are in e + 1
+    runs at most, so score - 1 - m pairs of neighbours match at least, and m <= n. Where that is none, single words are the
+    seeds, of which score / 2 match. Words that only the document has are 2n - score at most.
+    """
+    score = max(1, int(np.ceil(MATCH * threshold * n - 1e-9)))
+    pairs = score - 1 - n
+    return (score, 2, pairs, 3 * n - score) if pairs > 0 else (score, 1, -(-score // 2), 3 * n - score)
 
-    found = docs.select(F.col(text).cast("string").cast("binary").alias("t")).mapInArrow(run, "g long, n long")
-    return {r["g"] & (1 << 64) - 1: r["n"] for r in found.groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
+class Seeds:
+    """The seeds of one length and the items that have each."""
 
-def _rare(items: list[tuple[int, np.ndarray]], seen: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hashes, and for each its item's place and where in the item it is; the rarest of each item.
+    def __init__(self, words: int, hashes: np.ndarray, owner: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.words, self.owner, self.look = words, owner[order], Lookup(hashes)
+        self.first = np.searchsorted(hashes[order], self.look.values)
+        self.last = np.searchsorted(hashes[order], self.look.values, "right")
 
-    Rarity is by rank within the item: a leaked item raises the counts of all its seeds alike, so it keeps its seeds.
-    """
-    hashes, owner, place = [], [], []
-    for k, (_, ids) in enumerate(items):
-        g = grams(ids)
-        n = np.array([seen.get(int(x), 0) for x in g])
-        keep = np.sort(np.argsort(n, kind="stable")[: max(LEAST_SEEDS, int(np.ceil(RARE_SHARE * len(g))))])
-        hashes.append(g[keep])
-        owner.append(np.full(len(keep), k))
-        place.append(keep)
-    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return join(hashes, np.uint64), join(owner, np.int64), join(place, np.int64)
+    def find(self, flat: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of their seeds in the words of documents, by item, then place."""
+        at, spot = self.look.find(grams(flat, self.words))
+        within = doc[at] == doc[at + self.words - 1]
+        at, spot = at[within], spot[within]
+        times = self.last[spot] - self.first[spot]
+        row = np.repeat(self.first[spot], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        order = np.argsort(self.owner[row], kind="stable")
+        return self.owner[row][order], np.repeat(at, times)[order]
 
 
 class Matcher:
-    """Finds the items that a document copies."""
+    """Finds the items that documents copy; every alignment that reaches the threshold is found, see _bounds()."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], seeds: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
         self.items, self.threshold = items, threshold
-        order = np.argsort(seeds[0], kind="stable")
-        self.owner, self.place = seeds[1][order], seeds[2][order]
-        self.look = Lookup(seeds[0])
-        self.first = np.searchsorted(seeds[0][order], self.look.values)
-        self.last = np.searchsorted(seeds[0][order], self.look.values, "right")
-
-    def __call__(self, ids: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item_id, share of the full score, first word, word after the last) for each item that the words copy."""
-        at, spot = self.look.find(grams(ids))
-        if len(at) < 1:
-            return []
-        times = self.last[spot] - self.first[spot]
-        row = np.repeat(self.first[spot], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-        owner, start = self.owner[row], np.repeat(at, times) - self.place[row]
-        order = np.lexsort((start, owner))
-        owner, start, row = owner[order], start[order], row[order]
-        out = {}
-        bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            item_id, item = self.items[owner[lo]]
-            slack = len(item) // 4 + 2
-            gaps = np.flatnonzero(np.r_[True, np.diff(start[lo:hi]) > slack, True]) + lo
-            need = min(SHARED_SEEDS, max(1, len(item) - SEED_WORDS + 1))
-            for a, b in zip(gaps[:-1], gaps[1:], strict=True):
-                if len(np.unique(row[a:b])) < need:
-                    continue
-                left, right = max(0, int(start[a]) - slack), min(len(ids), int(start[b - 1]) + len(item) + slack)
-                score, begin, end = align(item, ids[left:right])
-                share = score / (MATCH * len(item))
-                if share >= self.threshold and share > out.get(item_id, (0.0,))[0]:
-                    out[item_id] = (share, left + begin, left + end)
-        return [(i, *v) for i, v in sorted(out.items())]
+        bounds = [_bounds(len(ids), threshold) for _, ids in items]
+        self.score, self.need, self.span = (np.array([b[i] for b in bounds], np.int64) for i in (0, 2, 3))
+        self.words = [np.unique(ids) for _, ids in items]
+        self.pairs = [np.unique(grams(ids, 2)) for _, ids in items]
+        self.seeds = []
+        for words in (1, 2):
+            mine = [k for k, b in enumerate(bounds) if b[1] == words]
+            if mine:
+                self.seeds.append(self._seeds(mine, words))
+
+    def _seeds(self, mine: list[int], words: int) -> Seeds:
+        """All seeds of these items. Common ones go while fewer than the least number in an alignment have gone."""
+        each = [np.unique(grams(self.items[k][1], words), return_counts=True) for k in mine]
+        values, shared = np.unique(np.concatenate([g for g, _ in each]), return_counts=True)
+        hashes, owner = [], []
+        for k, (g, places) in zip(mine, each, strict=True):
+            owners, keep = shared[np.searchsorted(values, g)], np.ones(len(g), bool)
+            for i in np.argsort(-owners, kind="stable"):
+                if owners[i] <= COMMON or self.need[k] <= places[i]:
+                    break
+                keep[i] = False
+                self.need[k] -= places[i]
+            hashes.append(g[keep])
+            owner.append(np.full(keep.sum(), k))
+        return Seeds(words, np.concatenate(hashes), np.concatenate(owner))
+
+    def __call__(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, int, int]]]:
+        """For each text's words, (item_id, share of the full score, first word, word after the last) of each item that they copy."""
+        out: list[dict] = [{} for _ in texts]
+        ends = np.cumsum([len(ids) for ids in texts])
+        flat, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(ids) for ids in texts])
+        for seeds in self.seeds:
+            for k, d, left, right in self._regions(seeds, flat, doc):
+                begin = ends[d] - len(texts[d])
+                self._judge(k, texts[d], max(0, left - begin), min(len(texts[d]), right - begin), out[d])
+        return [[(i, *v) for i, v in sorted(found.items())] for found in out]
+
+    def _regions(self, seeds: Seeds, flat: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Item, document and stretch of words, wherever as many seeds as an alignment needs are as near as one can hold."""
+        owner, at = seeds.find(flat, doc)
+        if not len(at):
+            return
+        last = np.arange(len(at)) + self.need[owner] - 1
+        inside = last < len(at)
+        last = np.minimum(last, len(at) - 1)
+        enough = np.flatnonzero(inside & (owner[last] == owner) & (doc[at[last]] == doc[at]) & (at[last] - at < self.span[owner]))
+        owner, at = owner[enough], at[enough]
+        apart = (owner[1:] != owner[:-1]) | (doc[at[1:]] != doc[at[:-1]]) | (at[1:] - at[:-1] > 2 * self.span[owner[1:]])
+        edge = np.flatnonzero(np.r_[True, apart, True]) if len(at) else np.zeros(0, np.int64)
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            k = int(owner[a])
+            yield k, int(doc[at[a]]), int(at[a] - self.span[k]), int(at[b - 1] + self.span[k])
+
+    def _judge(self, k: int, ids: np.ndarray, left: int, right: int, out: dict) -> None:
+        item_id, item = self.items[k]
+        part, span = ids[left:right], int(self.span[k])
+        words = np.isin(part, self.words[k], kind="sort")
+        pairs = np.append(np.isin(grams(part, 2), self.pairs[k], kind="sort"), False)
+        most = [np.concatenate([[0], np.cumsum(hit)]) for hit in (words, pairs)]
+        m, p = (total[span:] - total[:-span] if len(part) > span else total[-1:] for total in most)
+        # as in _bounds(), matches and pairs of neighbours that match are score - 1 at least
+        if (np.minimum(m, len(item)) + np.minimum(p, len(item) - 1)).max() < self.score[k] - 1:
+            return
+        score, begin, end = align(item, part)
+        share = score / (MATCH * len(item))
+        if share >= self.threshold and share > out.get(item_id, (0.0,))[0]:
+            out[item_id] = (share, left + begin, left + end)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): items that documents contain, exactly, edited or paraphrased.
 
-    Two passes over the documents, both without a shuffle of texts: one counts the seeds of the items in all documents,
-    one looks up the rarest seeds and aligns. Items go in blocks of a fixed number, so what is broadcast is bounded.
+    One pass over the documents, without a shuffle: stretches that share as many seeds with an item as any alignment that
+    reaches the threshold must are aligned, so the result is that of aligning every document with every item. Items go in
+    blocks of a fixed number, so what is broadcast is bounded.
     Words are compared in lower case; punctuation only parts them. Null or empty texts match nothing; items of fewer
     than LEAST_WORDS words, null ones included, are not searched; repeated rows give a row each; ties go to the earliest
     place. An empty table on either side gives an empty result; other columns are ignored.
@@ -182,15 +210,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, score double, first_word long, end_word long"
     parts = []
-    for shared in _searches(docs, benchmark, text):
+    for shared in _searches(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            match = Matcher(*shared.value, threshold)
+            match = Matcher(shared.value, threshold)
             for batch in batches:
                 keys, found = [], []
                 for part in slices(batch, 1, SLICE):
-                    for key, ids in zip(part.column(0).to_pylist(), words_of(part.column(1).to_pylist()), strict=True):
-                        hits = match(ids)
+                    for key, hits in zip(part.column(0).to_pylist(), match(words_of(part.column(1).to_pylist())), strict=True):
                         keys += [key] * len(hits)
                         found += hits
                 columns = [pa.array(keys, batch.schema.field(0).type)]
@@ -208,11 +235,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out
 
 
-def _searches(docs: DataFrame, benchmark: DataFrame, text: str) -> Iterator:
-    """For each block of items, the broadcast items and their rarest seeds."""
+def _searches(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """The blocks of items, broadcast."""
     for items in _blocks(benchmark):
-        all_grams = np.unique(np.concatenate([grams(w) for _, w in items]))
-        yield docs.sparkSession.sparkContext.broadcast((items, _rare(items, _seen(docs, all_grams, text))))
+        yield docs.sparkSession.sparkContext.broadcast(items)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -231,11 +257,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents that contain no item, with all their columns; each row is judged by its own text, in place."""
-    for shared in _searches(docs, benchmark, text):
+    for shared in _searches(docs, benchmark):
 
         def make(shared=shared):
-            match = Matcher(*shared.value, threshold)
-            return lambda texts: [not match(ids) for ids in words_of(texts)]
+            match = Matcher(shared.value, threshold)
+            return lambda texts: [not hits for hits in match(words_of(texts))]
 
         docs = rows_where(docs, make, text)
     return docs

@@ -142,6 +142,31 @@ def test_leaks_are_found_and_nothing_else(leaked):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in truth}
 
 
+def test_edited_copies_match_brute_force(spark):
+    rnd = random.Random(12)
+    items = [prose(rnd, n) for n in (5, 6, 8, 15, 30, 59)]
+    rows = []
+    for item in items:
+        for share in (0.1, 0.2, 0.25):
+            for _ in range(3):
+                copy = item.split()
+                for at in rnd.sample(range(len(copy)), max(1, round(share * len(copy)))):
+                    copy[at] = f"new{rnd.random()}"
+                rows.append(" ".join([prose(rnd, 40), *copy, prose(rnd, 40)]))
+        for every in (4, 5):
+            rows.append(" ".join(f"new{i}" if i % every == every - 1 else w for i, w in enumerate(item.split())))
+        rows += [" between ".join(item.split()), " ".join(w + " then" if i % 2 else w for i, w in enumerate(item.split())), item]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOCS)
+    made = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    words, want = decontaminate.words_of([t.encode() for t in rows]), {}
+    for k, item in enumerate(decontaminate.words_of([t.encode() for t in items])):
+        for i, w in enumerate(words):
+            share = decontaminate.align(item, w)[0] / (decontaminate.MATCH * len(item))
+            if share >= decontaminate.THRESHOLD:
+                want[i, k] = share
+    assert made == want and len(want) > 60
+
+
 def test_blocks_of_items_agree(leaked, monkeypatch):
     docs, bench, truth = leaked
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
