@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,15 @@ from .common import rows_where, slices, table
 
 #: Seeds that more items than this share are left out, as far as no copy can be missed for it.
 COMMON = 64
-#: Items with fewer words match too much by chance to be judged.
+#: Items with fewer words match too much by chance to be aligned: all their words must follow each other in a document.
 LEAST_WORDS = 5
+#: Scripts that don't part words by spaces, of which each character is a word, and their punctuation, which parts words.
+UNSPACED = re.compile(
+    "[\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u303b-\u303c\u3041-\u3096\u3099-\u309f\u30a1-\u30fa\u30fc-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf"
+    "\u4e00-\ua4cf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b2ff\U00020000-\U0003ffff"
+    "\u0e01-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\ua980-\ua9ff\uaa60-\uaa7f]"
+)
+UNSPACED_GAPS = re.compile("[\u0e2f\u0e5a\u0e5b\u0f0b-\u0f14\u104a\u104b\u17d4-\u17da\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated by an item if its best alignment reaches this share of a full match. A copy in which one
 #: word in five was substituted reaches 0.7.
@@ -26,9 +34,17 @@ BLOCK_ITEMS = 20_000
 SLICE = 256
 
 
+def _parted(text: str) -> str:
+    """A text with spaces around each character of scripts without them."""
+    return text if text.isascii() else UNSPACED.sub(r" \g<0> ", UNSPACED_GAPS.sub(" ", text))
+
+
 def words_of(texts: list) -> list[np.ndarray]:
-    """Hashes of the words of UTF-8 texts, in lower case; all but letters, digits and what isn't ASCII parts words."""
-    return word_hashes([(t or b"").decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM)
+    """Hashes of the words of UTF-8 texts, in lower case; all but letters, digits and what isn't ASCII parts words.
+
+    In scripts without spaces each character is a word.
+    """
+    return word_hashes([_parted((t or b"").decode("utf-8", "replace").lower()).encode() for t in texts], NOT_ALNUM)
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -129,14 +145,20 @@ class Matcher:
     def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
         self.items, self.threshold = items, threshold
         bounds = [_bounds(len(ids), threshold) for _, ids in items]
+        long = [len(ids) >= LEAST_WORDS for _, ids in items]
         self.score, self.need, self.span = (np.array([b[i] for b in bounds], np.int64) for i in (0, 2, 3))
         self.words = [np.unique(ids) for _, ids in items]
         self.pairs = [np.unique(grams(ids, 2)) for _, ids in items]
         self.seeds = []
         for words in (1, 2):
-            mine = [k for k, b in enumerate(bounds) if b[1] == words]
+            mine = [k for k, b in enumerate(bounds) if long[k] and b[1] == words]
             if mine:
                 self.seeds.append(self._seeds(mine, words))
+        self.whole = []
+        for words in range(1, LEAST_WORDS):
+            mine = [k for k, (_, ids) in enumerate(items) if len(ids) == words]
+            if mine:
+                self.whole.append(Seeds(words, np.concatenate([grams(items[k][1], words) for k in mine]), np.array(mine)))
 
     def _seeds(self, mine: list[int], words: int) -> Seeds:
         """All seeds of these items. Common ones go while fewer than the least number in an alignment have gone."""
@@ -163,6 +185,13 @@ class Matcher:
             for k, d, left, right in self._regions(seeds, flat, doc):
                 begin = ends[d] - len(texts[d])
                 self._judge(k, texts[d], max(0, left - begin), min(len(texts[d]), right - begin), out[d])
+        for seeds in self.whole:
+            owner, at = seeds.find(flat, doc)
+            for k, a in zip(owner.tolist(), at.tolist(), strict=True):
+                d, (item_id, item) = doc[a], self.items[k]
+                if out[d].get(item_id, (0.0,))[0] < 1.0 and np.array_equal(flat[a : a + len(item)], item):
+                    begin = a - int(ends[d] - len(texts[d]))
+                    out[d][item_id] = (1.0, begin, begin + len(item))
         return [[(i, *v) for i, v in sorted(found.items())] for found in out]
 
     def _regions(self, seeds: Seeds, flat: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -203,9 +232,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     One pass over the documents, without a shuffle: stretches that share as many seeds with an item as any alignment that
     reaches the threshold must are aligned, so the result is that of aligning every document with every item. Items go in
     blocks of a fixed number, so what is broadcast is bounded.
-    Words are compared in lower case; punctuation only parts them. Null or empty texts match nothing; items of fewer
-    than LEAST_WORDS words, null ones included, are not searched; repeated rows give a row each; ties go to the earliest
-    place. An empty table on either side gives an empty result; other columns are ignored.
+    Words are compared in lower case; punctuation only parts them. Null or empty texts match nothing; of items
+    of fewer than LEAST_WORDS words only exact copies count, and items without a word match nothing; characters of scripts
+    without spaces are words. Repeated rows give a row each; ties go to the earliest place. An empty table on either side gives an empty result; other columns are ignored.
     """
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, score double, first_word long, end_word long"
@@ -247,7 +276,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     block: list[tuple[int, np.ndarray]] = []
     for r in rows.orderBy("item_id", "t").toLocalIterator():
         ids = words_of([r["t"]])[0]
-        block += [(r["item_id"], ids)] if len(ids) >= LEAST_WORDS else []
+        block += [(r["item_id"], ids)] if len(ids) else []
         if len(block) >= BLOCK_ITEMS:
             yield block
             block = []

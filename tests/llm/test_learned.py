@@ -167,6 +167,16 @@ def test_edited_copies_match_brute_force(spark):
     assert made == want and len(want) > 60
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = ["Who wrote Faust?", "水的沸点是多少度？", "ประเทศไทยมีกี่จังหวัด", "東京", "...", "what"]
+    rows = ["one: WHO wrote faust", "who wrote the faust", "前文水的沸點是多少度呢，后文", "ข้อความประเทศไทยมีกี่จังหวัดครับ", "私は東京に住む", "京東", "the what, what", "水的", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOCS)
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): tuple(r[2:]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found.keys() == {(0, 0), (2, 1), (3, 2), (4, 3), (6, 5)}
+    assert found[0, 0] == (1.0, 1, 4) and found[4, 3] == (1.0, 2, 4) and found[6, 5] == (1.0, 1, 2) and 0.6 < found[2, 1][0] < 1.0
+
+
 def test_blocks_of_items_agree(leaked, monkeypatch):
     docs, bench, truth = leaked
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
