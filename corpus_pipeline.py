@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairfield.llm import decontaminate, mixing, pii, quality, simhash
+from pairfield.llm import decontaminate, mixing, pii, quality, simhash, similar
 from pairfield.llm.common import shared_dir, table
 
 
@@ -16,8 +16,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates, by fingerprints or by shingles of five words, stays."""
+    return simhash.one_of_each(docs, found=similar.near_duplicates(docs))
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

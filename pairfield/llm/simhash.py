@@ -107,13 +107,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return prints.join(linked, prints["fp"] == linked["__fp"]).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """The documents that name their component: one row of each group stays, with all columns of docs.
 
     Of rows equal in doc_id and text, one stays. Rows with a null doc_id stay only where their group has no id at all,
-    and then one of each fingerprint. Texts are shuffled once, by id, for both steps.
+    and then one of each fingerprint. Texts are shuffled once, by id, for both steps. found: the components, if they
+    aren't those of near_duplicates().
     """
-    found = near_duplicates(docs, text)
+    found = near_duplicates(docs, text) if found is None else found
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi")
     same = Window.partitionBy("doc_id", text).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", text)] or [F.lit(0)])

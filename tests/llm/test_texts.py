@@ -237,6 +237,43 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == d.columns
 
 
+def test_similar_texts_match_brute_force(spark, monkeypatch):
+    from pairfield.llm import similar
+
+    monkeypatch.setattr(similar, "SAMPLE_ROWS", 20)
+    rnd = random.Random(9)
+    words, texts = [f"v{i}" for i in range(900)], ["", None, " ", "one two", "One two", "one two three"]
+    footer = " ".join(rnd.choice(words) for _ in range(40))
+    for _ in range(25):
+        t = [rnd.choice(words) for _ in range(rnd.randrange(20, 300))]
+        texts += [" ".join(t), f"{' '.join(t)} {footer}"]
+        for edits in (1, len(t) // 60, len(t) // 40, len(t) // 20):
+            e = t[:]
+            for at in rnd.sample(range(len(t)), edits):
+                e[at] = "edit"
+            texts.append(" ".join(e))
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    d = docs(spark, texts)
+    rows = {r["doc_id"]: r for r in similar.near_duplicates(d).collect()}
+    sets, ids = [grams(t) for t in texts], sorted(rows)
+    root = {i: i for i in ids}
+    for _ in ids:
+        before = dict(root)
+        for a in ids:
+            for b in range(a):
+                near = bin((rows[a]["fp"] ^ rows[b]["fp"]) & (1 << 64) - 1).count("1") <= 2
+                if near or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert {i: r["component_id"] for i, r in rows.items()} == root and len(rows) == len(texts)
+    assert len(set(root.values())) < len({r["component_id"] for r in simhash.near_duplicates(d).collect()})
+    assert similar.near_duplicates(d.limit(0)).collect() == []
+
+
 def test_fingerprint_edges(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
     same = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (9, "q r s t u v w x")], DOCS)
