@@ -19,20 +19,22 @@ from .common import table
 KEY = "pairfield-surrogates"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: An initial; a word of a name, which may have apostrophes and inner capitals; a name has a word at least.
+_INITIAL, _WORD = r"\p{Lu}\.", r"(?:\p{Lu}['’])?+\p{Lu}\p{L}++(?:['’]\p{Lu}\p{L}++)*+"
 #: What is detected, in order of precedence. Patterns of a type, as fixed formats.
 PATTERNS = {
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|api_?key|access_?key|auth|token))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,256}[\"']?",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|api_?key|access_?key|auth|token))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+[\"']?",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "card": r"(?<![\d.-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])|(?<![\d.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
     "phone": r"\+\d{1,3}[ -]?\(\d{2,4}\) ?\d{3,4}[ -]?\d{3,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "name": r"(?<!\p{L})(?:Mr\.?|Mrs\.?|Ms\.?|Miss|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Señorita|Sra\.) \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}",
+    "name": rf"(?<!\p{{L}})(?:Mr\.?|Mrs\.?|Ms\.?|Miss|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Señorita|Sra\.) (?:{_INITIAL}[ -]?)*+{_WORD}(?:[ -](?:{_WORD}|{_INITIAL}))*+",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without one of these has no entity; looked for first because it is cheap.
-HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|key|auth|token)|M(?:r|rs|s|me|lle|iss|onsieur|adame)\b|Herr|Frau|Señor|Sra\."
+HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|key|auth|token)|AKIA|ASIA|M(?:r|rs|s|me|lle|iss|onsieur|adame)\b|Herr|Frau|Señor|Sra\."
 
 #: Classes of characters that go to each other. Fixed values.
 LETTERS = ("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
@@ -69,7 +71,7 @@ def _number(digest: Column, i: Column) -> Column:
     return F.conv(F.substr(digest, (i * 3) % 58 + 1, F.lit(6)), 16, 10).cast("long") + i
 
 
-def permuted(key: str, entity: Column, classes: tuple[str, ...], tweak: Column, fixed_ends: tuple[int, int] = (0, 0)) -> Column:
+def permuted(key: str, entity: Column, classes: tuple[str, ...], tweak: Column, fixed_ends: tuple[int, int | Column] = (0, 0)) -> Column:
     """The keyed permutation of a string within its format; so many characters at its ends stay as they are."""
     every = "".join(classes)
     head, tail = fixed_ends
@@ -153,10 +155,10 @@ def _secret(key: str, e: Column) -> Column:
 
 
 def _name(key: str, e: Column) -> Column:
-    """The title, which tells the gender, stays, and so does each name's last letter; each name maps by itself."""
+    """The title, which tells the gender, stays, and so does each longer name's last letter; each name or initial maps by itself."""
     title = F.regexp_extract(e, r"^\S+ ", 0)
-    parts = F.regexp_extract_all(F.substr(e, F.length(title) + 1, F.length(e)), F.lit(r"\p{L}+|[ -]"), F.lit(0))
-    return F.concat(title, F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 1, permuted(key, p, NAME, F.lit("name"), (0, 1))).otherwise(p)), ""))
+    parts = F.regexp_extract_all(F.substr(e, F.length(title) + 1, F.length(e)), F.lit(r"\p{L}+|\P{L}"), F.lit(0))
+    return F.concat(title, F.array_join(F.transform(parts, lambda p: permuted(key, p, NAME, F.lit("name"), (0, F.when(F.length(p) > 1, 1).otherwise(0)))), ""))
 
 
 def kind_of(entity: Column) -> Column:
