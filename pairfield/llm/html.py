@@ -2,7 +2,7 @@
 
 A page is read into a tree. Each text block passes points for its length and commas to its parent and, halved, to the
 grandparent and further up; a container's points are discounted by the share of its text that is in links. The best
-container is kept with those siblings that look like parts of the same text.
+container, or the whole of the article or main that it is in, is kept with all siblings that aren't mostly links.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ WITHIN = frozenset("article content main post story entry body text".split())
 #: An element with more than this share of a page's text isn't taken for what is around an article.
 MOST = 0.6
 
+#: A sibling of the main text with this share of its text in links isn't part of it.
+LINKS = 0.5
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -228,7 +231,9 @@ def extract(source: str) -> str:
         return ""
     value = {i: n.points * (1 - _density(n)) * (1.5 if n.tag in ("article", "main") else 1.0) for i, n in scored.items()}
     best = max(scored.values(), key=lambda n: value[id(n)])  # the first of equals, which is the earliest
-    top = value[id(best)]
+    up = best
+    while up is not None:  # the whole of the article or main that it is in
+        best, up = up if up.tag in ("article", "main") else best, up.parent
     kept = [best]
     if best.parent is not None and best.parent.tag != "#root":
         kept, following = [], False
@@ -238,10 +243,8 @@ def extract(source: str) -> str:
             if s is not best:
                 if re.fullmatch("h[1-6]", s.tag):  # a heading goes with what follows it
                     keep = following
-                elif s.tag in LEAVES:
-                    keep = s.length > 80 and _density(s) < 0.25
                 else:
-                    keep = value.get(id(s), 0.0) >= max(10.0, 0.2 * top)
+                    keep = _density(s) < LINKS
             following = s is best or keep
             if following:
                 kept.append(s)

@@ -383,3 +383,15 @@ LONG = "A long paragraph, with commas, and words. " * 6
 )
 def test_what_is_around(page, want):
     assert html.extract(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><section>{f'<p>{LONG}</p>' * 10}</section><section><h2>Conclusion</h2><p>{LONG[:200]}</p></section></article>", [LONG.strip()] * 10 + ["Conclusion", LONG[:200].strip()]),
+        (f"<main><div>{f'<p>{LONG}</p>' * 5}</div><p>Short last line.</p></main>", [LONG.strip()] * 5 + ["Short last line."]),
+        (f"<div id=x><div>{f'<p>{LONG}</p>' * 5}</div><ul><li>one</ul><p>Last.</p><ul><li><a href=x>link</a></ul></div>", [LONG.strip()] * 5 + ["one", "Last."]),
+    ],
+)
+def test_short_parts_beside_the_body(page, want):
+    assert html.extract(page) == "\n".join(want)
