@@ -37,10 +37,12 @@ AROUND = frozenset(
     "pagination pager toolbar header masthead topbar footer footnav bottom copyright legal social share sharing sharebar related recommended recommendations "
     "comment comments commentlist disqus reply replies respond discussion reactions tags skip search form complementary contentinfo".split()
 )
+#: Those of them that mark readers' comments.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 #: Words that mark an article; an element with one of these isn't taken for what is around it.
 WITHIN = frozenset("article content main post story entry body text".split())
 
-#: An element with more than this share of a page's text isn't taken for what is around an article.
+#: An element with more than this share of a page's text isn't taken for what is around an article, unless it is comments.
 MOST = 0.6
 
 #: A sibling of the main text with this share of its text in links isn't part of it.
@@ -53,10 +55,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "soft", "points", "length", "linked", "in_link")
+    __slots__ = ("tag", "parent", "children", "drop", "soft", "comments", "points", "length", "linked", "in_link")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop, self.soft = tag, parent, drop, False
+        self.comments = bool(parent) and parent.comments
         self.children: list = []
         self.points = self.length = self.linked = 0.0
         self.in_link = bool(parent) and (tag == "a" or parent.in_link)
@@ -67,7 +70,7 @@ def _hidden(attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", bare) or re.search(r"aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", attributes, re.I))
 
 
-def _named_around(attributes: str) -> bool:
+def _named_around(attributes: str, marks: frozenset[str] = AROUND) -> bool:
     """Whether a class, id or role names what is around an article: its first or last word does, as in sidebar-left.
 
     Words such as has or no before it tell of something else's place. An element that is also named as the article, by
@@ -80,7 +83,7 @@ def _named_around(attributes: str) -> bool:
             for name in value.split():
                 words = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
                 if words and words[0] not in ("has", "with", "no", "is", "without"):
-                    around |= words[0] in AROUND or words[-1] in AROUND
+                    around |= words[0] in marks or words[-1] in marks
                     within |= len(words) == 1 and words[0] in WITHIN
     return around and not within
 
@@ -129,11 +132,13 @@ def parse(source: str) -> Node:
         attributes = m[3]
         outside = tag == "header" and not (opened["article"] or opened["main"])
         child = Node(tag, node, node.drop or tag in DROPPED or outside or bool(attributes) and _hidden(attributes))
-        if tag in ("article", "main"):
+        named = bool(attributes) and tag not in ("html", "body", "main") and not child.drop
+        child.comments = tag != "main" and (child.comments or named and _named_around(attributes, COMMENTS))
+        if tag == "main" or tag == "article" and not child.comments:
             up = node
             while opened["#soft"] and up.parent is not None:
                 up.soft, up = False, up.parent
-        elif attributes and tag not in ("html", "body") and not child.drop and _named_around(attributes):
+        elif named and _named_around(attributes):
             child.soft = True
             opened["#soft"] += 1
         node.children.append(child)
@@ -188,7 +193,8 @@ def _blocks(node: Node) -> list[tuple[Node, str]]:
 def _measure(root: Node) -> None:
     """Sets each element's length of kept text and of the part of it in links.
 
-    Elements named as being around an article go, unless they hold most of the page's text.
+    Elements named as being around an article go, unless they hold most of the page's text. Those named as comments go
+    whatever they hold, unless no text but headings and links is left.
     """
     order, stack = [], [root]
     while stack:
@@ -206,6 +212,13 @@ def _measure(root: Node) -> None:
             break
         for n in soft:
             n.drop = n.length <= MOST * root.length
+        threads = [n for n in soft if n.comments]
+        most = any(not n.drop for n in threads)
+        for n in threads:
+            n.drop = True
+        if most and not any(not re.fullmatch("h[1-6]", holder.tag) and _density(holder) < 1 for holder, _ in _blocks(root)):
+            for n in threads:
+                n.drop = False
 
 
 def _density(node: Node) -> float:

@@ -395,3 +395,12 @@ def test_what_is_around(page, want):
 )
 def test_short_parts_beside_the_body(page, want):
     assert html.extract(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_long_comment_threads(outer, tag):
+    thread = f"<div class=comments>{f'<{tag} class=comment-body><p>{LONG}</p></{tag}>' * 9}</div>"
+    assert html.extract(f"<body><{outer}><h1>T</h1><p>Short text.</p></{outer}>{thread}") == "T\nShort text."
+    assert html.extract(f"<body><{outer}><h1>T</h1><p>Short text.</p>{thread}</{outer}>") == "T\nShort text."
+    assert html.extract(f"<body><h1>T</h1>{thread}").count(LONG.strip()) == 9
