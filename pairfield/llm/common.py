@@ -24,10 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """The folder that driver and executors share, from spark.checkpoint.dir or the context's checkpoint folder.
+
+    Only a local session, whose executors are in the driver, may do without: it gets a temporary folder. A cluster without
+    one is an error, as its executors couldn't see a folder of the driver's.
+    """
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not found and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="pairfield-"))
     return found or context.getCheckpointDir()
 
@@ -59,6 +64,22 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+#: A key that has more than one in so many rows is hot; so there are fewer hot keys than that. Below LEAST_HOT rows none is.
+HOT_SHARE, LEAST_HOT = 100_000, 1_000
+
+
+def looked_up(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with keyed, which has one row per key and in column n how many of rows have the key.
+
+    Hot keys, fewer than HOT_SHARE of them, are broadcast, so none is gathered in one task. keyed is read several times:
+    it should be a cut or written table. n is dropped; null keys meet nothing.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(LEAST_HOT, total // HOT_SHARE)
+    many, few = F.broadcast(keyed.filter(hot).drop(n)), keyed.filter(~hot).drop(n)
+    return rows.join(many, on).unionByName(rows.join(many.select(*on), on, "left_anti").join(few, on))
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

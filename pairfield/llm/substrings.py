@@ -1,8 +1,9 @@
 """Exact repeated passages: every window of words that also starts earlier in the corpus is removed.
 
-Later copies of whole documents go by a digest. For the rest, anchors (the least hash of each window's short grams) find
+A place is a row's doc_id (null ids last) and a digest of its text, so rows that share an id stay apart. Later copies of
+whole documents go by a digest of their words. For the rest, anchors (the least hash of each window's short grams) find
 windows that can recur: equal windows have equal anchors, so a window whose anchor no other place has is unique. Only
-windows with a recurring anchor are compared, by 96 bits of hashes of their words, and only the first document of each
+windows with a recurring anchor are compared, by 96 bits of hashes of their words, and only the first place of each
 distinct one is sent back. Every grouping combines before its shuffle, and no group of equal passages is ever gathered.
 """
 
@@ -15,21 +16,22 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import word_hashes
-from .common import cut, slices, table, written
+from .common import cut, looked_up, slices, table, written
 
 WINDOW = 20
 #: Words of the grams from which anchors are chosen.
 GRAM = 6
 #: Odd multipliers of the two hashes, fixed values; of the second, the upper 32 bits are used.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Where a null doc_id stands: after all others.
-LAST_ID = (1 << 63) - 1
-#: Shares into which copies of one document are dealt when their first one is looked up.
-SALTS = 32
+#: Bytes below which a text can't have a window.
+LEAST_BYTES = 2 * WINDOW - 1
+#: Anchors that so many of a sample of documents have, of about so many, count as recurring unseen. A wrong guess costs a
+#: comparison of windows, nothing else. The others are in too few documents for their groups to be large.
+SAMPLE_ROWS, HEAVY, HEAVY_MOST = 50_000, 25, 400_000
 #: Documents that are worked on at once, if they aren't long.
 SLICE = 256
 
@@ -79,13 +81,31 @@ def _marked(least: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, least), len(values) - 1)] == least
 
 
+#: What tells places apart, in their order.
+PLACE = ("none", "doc", "tag")
+
+
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).cast("string").cast("binary").alias("t"))
+    """(none, doc, tag, t): each row's place and text."""
+    kind = docs.schema["doc_id"].dataType
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    place = F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("doc"), F.xxhash64(t).alias("tag")
+    return docs.select(*place, t.alias("t"))
+
+
+def _fields(keyed: DataFrame, more: str) -> str:
+    return ", ".join([*(f"{k} {keyed.schema[k].dataType.simpleString()}" for k in PLACE), more])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from slices(batch, 1, SLICE)
+        yield from slices(batch, len(PLACE), SLICE)
+
+
+def _taken(part: pa.RecordBatch, rows: np.ndarray, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Places of those rows with further columns."""
+    at = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(PLACE))), *more.values()], names=[*PLACE, *more])
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -98,66 +118,66 @@ def _numbers(values: pa.Scalar) -> np.ndarray:
     return np.sort(values.values.to_numpy(zero_copy_only=False).view(np.uint64)) if values.is_valid else np.zeros(0, np.uint64)
 
 
-def _packed(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, z): texts compressed for a shuffle by id."""
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The places with z, texts compressed for a shuffle by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for part in _slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze(t or b"") for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
+            yield _taken(part, np.arange(part.num_rows), {"z": pa.array([squeeze(t) for t in part.column(3).to_pylist()], pa.binary())})
 
-    return _keyed(docs, text).mapInArrow(run, "doc long, z binary")
+    return keyed.mapInArrow(run, _fields(keyed, "z binary"))
 
 
-def _anchored(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, anchors, own, d1, d2): a document's distinct anchors, those of them that it has at several places itself, and
-    a digest of its words; for documents of a window at least."""
+def _anchored(keyed: DataFrame) -> DataFrame:
+    """Places with their distinct anchors, those of them that a document has at several places itself (own), and a digest of
+    its words (d1, d2); for documents of a window at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            keys, found, digests = [], [], []
-            for key, ids in zip(part.column(0).to_pylist(), word_hashes([t or b"" for t in part.column(1).to_pylist()]), strict=True):
+            rows, found, digests = [], [], []
+            for i, ids in enumerate(word_hashes(part.column(3).to_pylist())):
                 if len(ids) >= WINDOW:
                     every = anchors(ids)[1]
                     again = every[1:] == every[:-1]
-                    keys.append(key)
+                    rows.append(i)
                     found.append((every[np.append(True, ~again)], np.unique(every[1:][again])))
                     digests.append(hashlib.blake2b(ids.tobytes(), digest_size=16).digest())
-            if keys:
+            if rows:
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                columns = [pa.array(keys, pa.int64()), *(_lists([f[i] for f in found]) for i in (0, 1)), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "anchors", "own", "d1", "d2"])
+                more = {"anchors": _lists([f[0] for f in found]), "own": _lists([f[1] for f in found])}
+                yield _taken(part, np.array(rows), more | {f"d{i + 1}": pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1)})
 
-    return _keyed(docs, text).mapInArrow(run, "doc long, anchors array<long>, own array<long>, d1 long, d2 long")
+    return keyed.mapInArrow(run, _fields(keyed, "anchors array<long>, own array<long>, d1 long, d2 long"))
 
 
 def _window_rows(packed: DataFrame) -> DataFrame:
-    """(doc, h1, h2): each distinct window of a document that can recur, once."""
+    """The places with h1, h2: each distinct window of a place that can recur, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for part in _slices(batches):
-            part = part.filter(pc.is_valid(part.column(2)))
+            part = part.filter(pc.is_valid(part.column(4)))
             if not part.num_rows:
                 continue
-            keys, one, two = [], [], []
-            for key, ids, more in zip(part.column(0).to_pylist(), word_hashes([unpack(z) for z in part.column(1).to_pylist()]), part.column(2), strict=True):
+            rows, one, two = [], [], []
+            for i, (ids, more) in enumerate(zip(word_hashes([unpack(z) for z in part.column(3).to_pylist()]), part.column(4), strict=True)):
                 if len(ids) < WINDOW:
                     continue
                 mark = _marked(anchors(ids)[0], _numbers(more))
                 h1, h2 = (runs(ids, WINDOW, by)[mark] for by in MULTIPLIERS)
                 first = np.unique(h1, return_index=True)[1]
-                keys.append(np.full(len(first), key, np.int64))
+                rows.append(np.full(len(first), i))
                 one.append(h1[first].view(np.int64))
                 two.append((h2[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, one, two)], names=["doc", "h1", "h2"])
+            if rows:
+                yield _taken(part, np.concatenate(rows), {"h1": pa.array(np.concatenate(one)), "h2": pa.array(np.concatenate(two))})
 
-    return packed.select("doc", "z", "recurring").mapInArrow(run, "doc long, h1 long, h2 int")
+    return packed.select(*PLACE, "z", "recurring").mapInArrow(run, _fields(packed, "h1 long, h2 int"))
 
 
 def covered(ids: np.ndarray, recurring: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -176,52 +196,77 @@ def covered(ids: np.ndarray, recurring: np.ndarray, firsts: np.ndarray) -> np.nd
     return np.cumsum(ends[:-1]) > 0
 
 
+def _heavy(anchored: DataFrame) -> DataFrame:
+    """Anchors that many documents share, by a sample of places; their number is bounded, so they are broadcast."""
+    share = max(1, anchored.count() // SAMPLE_ROWS)
+    some = anchored.filter(F.pmod("tag", F.lit(share)) == 0).select(F.explode("anchors").alias("anchor"))
+    often = some.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= HEAVY)
+    return F.broadcast(cut(often.orderBy(F.desc("n"), "anchor").limit(HEAVY_MOST).select("anchor")))
+
+
+def _recurring(anchored: DataFrame) -> DataFrame:
+    """The places with the anchors that other places have too, or that they have several times themselves."""
+    heavy, pairs = _heavy(anchored), anchored.select(*PLACE, F.explode("anchors").alias("anchor"))
+    rest = pairs.join(heavy, "anchor", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    met = pairs.join(heavy, "anchor", "left_semi").select(*PLACE, "anchor").unionByName(rest.filter("n > 1").drop("n"))
+    return met.unionByName(anchored.select(*PLACE, F.explode("own").alias("anchor"))).groupBy(*PLACE).agg(F.collect_set("anchor").alias("recurring"))
+
+
+def _later(anchored: DataFrame) -> DataFrame:
+    """The places of documents whose words an earlier place has, all of them in order."""
+    place = F.struct(*PLACE)
+    originals = cut(anchored.groupBy("d1", "d2").agg(F.min(place).alias("__first"), F.count("*").alias("n")).filter("n > 1"))
+    copies = looked_up(anchored.select(*PLACE, "d1", "d2"), originals, ["d1", "d2"])
+    return copies.filter(place > F.col("__first")).select(*PLACE).distinct().withColumn("later", F.lit(True))
+
+
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text of the remaining words, joined by one space.
 
     A null or empty text has no words. Of equal windows, the one of the smallest doc_id stays, in a document the first; a
-    null doc_id comes after all others. Rows that share a doc_id count as one place: windows that they share with each
-    other stay in each. Other columns are ignored; an empty table gives an empty result. A document's rows are gathered
-    by its id, in proportion to its own length; nothing else is.
+    null doc_id comes after all others. Rows that share a doc_id, or have none, are places of their own if their texts
+    differ, in an order that a hash of the texts gives; rows equal in doc_id and text are one place and get the same
+    result. Ids may be of any type that has an order. Other columns are ignored; an empty table gives an empty result.
+    What is gathered of a place is in proportion to its own text; nothing else is.
     """
-    anchored = written(_anchored(docs, text))
-    originals = anchored.groupBy("d1", "d2").agg(F.min("doc").alias("__first"), F.count("*").alias("n")).filter("n > 1")
-    originals = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = anchored.select("doc", "d1", "d2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
-    later = copies.join(originals, ["d1", "d2", "salt"]).filter("doc > __first").select("doc", F.lit(True).alias("later"))
-    pairs = anchored.select("doc", F.explode("anchors").alias("anchor"))
-    twice = pairs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    met = pairs.join(twice, "anchor", "left_semi").unionByName(anchored.select("doc", F.explode("own").alias("anchor")))
-    recurring = met.groupBy("doc").agg(F.collect_set("anchor").alias("recurring")).join(later.distinct(), "doc", "full_outer")
-    marks = cut(recurring.select("doc", F.when(F.col("later").isNull(), F.col("recurring")).alias("recurring"), "later"))
-    packed = _packed(docs, text).join(marks, "doc", "left")  # both uses share one shuffle of the texts
-    first = _window_rows(packed).groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
-    firsts = first.groupBy("doc").agg(F.collect_list("h1").alias("firsts"))
-    joined = packed.join(firsts, "doc", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        for part in _slices(batches):
-            texts = [unpack(z) for z in part.column(1).to_pylist()]
-            some = [i for i, r in enumerate(part.column(2)) if r.is_valid]
-            ids = dict(zip(some, word_hashes([texts[i] for i in some]), strict=True)) if some else {}
-            n, gone, kept = [], [], []
-            for i, t in enumerate(texts):
-                words = t.split()
-                n.append(len(words))
-                if part.column(3)[i].is_valid:
-                    gone.append(len(words))
-                    kept.append("")
-                    continue
-                drop = covered(ids[i], _numbers(part.column(2)[i]), _numbers(part.column(4)[i])) if i in ids else None
-                gone.append(0 if drop is None else int(drop.sum()))
-                kept.append(b" ".join(compress(words, (~drop).tolist()) if gone[-1] else words).decode())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
-
-    made = joined.select("doc", "z", "recurring", "later", "firsts").mapInArrow(run, "doc long, n_words long, n_removed long, kept string")
-    return made.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
+    keyed = _keyed(docs, text)
+    short = F.octet_length("t") < LEAST_BYTES  # has no window: needs no shuffle
+    long = keyed.filter(~short)
+    anchored = written(_anchored(long))
+    marks = _recurring(anchored).join(_later(anchored), [*PLACE], "full_outer")
+    marks = cut(marks.select(*PLACE, F.when(F.col("later").isNull(), F.col("recurring")).alias("recurring"), "later"))
+    packed = _packed(long).join(marks, [*PLACE], "left")  # both uses share one shuffle of the texts
+    first = _window_rows(packed).groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("p"))
+    firsts = first.groupBy(*[F.col(f"p.{k}").alias(k) for k in PLACE]).agg(F.collect_list("h1").alias("firsts"))
+    joined = packed.join(firsts, [*PLACE], "left").select(*PLACE, "z", "recurring", "later", "firsts")
+
+    def judged(plain: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
+
+            unpack = bytes if plain else zstandard.ZstdDecompressor().decompress
+            for part in _slices(batches):
+                texts = [unpack(z) for z in part.column(3).to_pylist()]
+                some = [] if plain else [i for i, r in enumerate(part.column(4)) if r.is_valid]
+                ids = dict(zip(some, word_hashes([texts[i] for i in some]), strict=True)) if some else {}
+                n, gone, kept = [], [], []
+                for i, t in enumerate(texts):
+                    words = t.split()
+                    n.append(len(words))
+                    if not plain and part.column(5)[i].is_valid:
+                        gone.append(len(words))
+                        kept.append("")
+                        continue
+                    drop = covered(ids[i], _numbers(part.column(4)[i]), _numbers(part.column(6)[i])) if i in ids else None
+                    gone.append(0 if drop is None else int(drop.sum()))
+                    kept.append(b" ".join(compress(words, (~drop).tolist()) if gone[-1] else words).decode())
+                yield _taken(part, np.arange(part.num_rows), {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())})
+
+        return run
+
+    schema = _fields(keyed, "n_words long, n_removed long, kept string")
+    made = joined.mapInArrow(judged(False), schema).unionByName(keyed.filter(short).mapInArrow(judged(True), schema))
+    return made.select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

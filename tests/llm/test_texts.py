@@ -163,6 +163,27 @@ def test_substring_edges(spark):
     assert {r["doc_id"]: r["n_removed"] for r in substrings.without_repeats(d).collect()} == {None: 40, 5: 0, 7: 40}
 
 
+@pytest.mark.parametrize("heavy", [2, substrings.HEAVY])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_substrings_of_rows_that_share_an_id(spark, monkeypatch, heavy, kind):
+    monkeypatch.setattr(substrings, "HEAVY", heavy)
+    x, y, z = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyz")
+    rows = [("1", x), (None, x), (None, y), ("5", x), ("5", z), ("5", f"{z} {y}"), (None, f"q {x}"), (None, None), (None, ""), ("6", y), ("6", y)]
+    d = spark.createDataFrame(rows, "id string, text string").select(F.col("id").cast(kind).alias("doc_id"), "text")
+    tags = {r["text"]: r["h"] for r in d.select("text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()}
+    places = sorted({(i is None, i or "0", tags[t], t or "") for i, t in rows})
+    want = {(None if none else i, t): r for (none, i, _, t), r in zip(places, brute_substrings([p[3] for p in places]), strict=True)}
+    made = substrings.without_repeats(d.repartition(3)).collect()
+    assert sorted(str((None if r["doc_id"] is None else str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"])) for r in made) == sorted(str((i, *want[i, t or ""])) for i, t in rows)
+    assert want[None, y][1] == 30 and want["5", z][1] + want["5", f"{z} {y}"][1] == 30 and want["6", y][1] in (0, 30)
+
+
+def test_substrings_of_a_very_long_text(spark):
+    unit = " ".join(f"a{i}" for i in range(5000))
+    made = substrings.without_repeats(docs(spark, [" ".join([unit] * 30), unit, "b " + unit])).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_removed"]) for r in made] == [(150_000, 145_000), (5000, 5000), (5001, 5000)]
+
+
 # fingerprints
 
 
