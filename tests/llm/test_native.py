@@ -1,5 +1,7 @@
 """Mixing, personal data and the pipeline."""
 
+import hashlib
+import random
 import re
 
 import duckdb
@@ -87,7 +89,7 @@ TEXTS = [
 CLEAN = ["", None, "In 2020 there were 3.0 things, and mister nobody's 12 apples.", "The and of 5 are."]
 
 
-def replaced(spark, texts, key=pii.KEY):
+def replaced(spark, texts, key=pii.OPEN_KEY):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return [r["text"] for r in pii.surrogates(d, key).orderBy("doc_id").collect()]
 
@@ -140,6 +142,93 @@ def test_extra_columns_and_long_texts(spark):
     assert pii.surrogates(d.limit(0)).collect() == []
 
 
+def brute_permuted(key, text, classes, tweak, head=0, tail=0):
+    """The permutation by its definition, a character at a time."""
+    of = {c: letters for letters in classes for c in letters}
+    chars = list(text)
+    free = [i for i, c in enumerate(chars) if c in of and head <= i < len(chars) - tail]
+    for step in (1, 2, 3):
+        mine = free[:1] if step == 3 else [i for i in free[1:] if i % 2 == step % 2]
+        rest = "".join(c for i, c in enumerate(chars) if i not in mine).lower()
+        digest = hashlib.sha256(f"{key}|{step}|{tweak}|{rest}".encode()).hexdigest()
+        for i in mine:
+            at, letters = (i * 3) % 58, of[chars[i]]
+            draw = int(digest[at : at + 6], 16) + i
+            chars[i] = letters[(letters.index(chars[i]) + (draw % (len(letters) - 1) + 1 if step == 3 else draw)) % len(letters)]
+    return "".join(chars)
+
+
+def test_surrogates_match_brute_force(spark):
+    rnd = random.Random(3)
+    word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    rows = []
+    for _ in range(60):
+        ssn = "-".join(word("0123456789", n) for n in (3, 2, 4))
+        rows.append((ssn, brute_permuted("k", ssn, pii.SETS["d"], "ssn")))
+        key = "AKIA" + word("ABCXYZ0123456789", 16)
+        rows.append((key, brute_permuted("k", key, pii.SETS["d"], "key", 4)))
+        secret = word("abcdefxyzABCXYZ0189-_/", rnd.randrange(6, 90)) + "z"
+        rows.append((f"token={secret}", "token=" + brute_permuted("k", secret, pii.SETS["c"], "secret")))
+        name = word("BDSŻĐÉИКА", 1) + word("aeilnrśđéиква", rnd.randrange(1, 9))
+        rows.append((f"Mr. {name}", "Mr. " + brute_permuted("k", name, pii.SETS["n"], "name")))
+        local, domain = word("abcxyz09._", 5) + "q", word("abcxyz09", 6) + ".co.uk"
+        rows.append((f"{local}@{domain}", brute_permuted("k", local, pii.SETS["c"], "email" + domain) + "@" + brute_permuted("k", domain, pii.SETS["c"], "domain", 0, 3)))
+        four = word("0123456789", 4)
+        veiled = brute_permuted("k", f"({four[:3]}) ###-{four}", pii.SETS["d"], "phone")
+        rows.append((f"({four[:3]}) 555-{four}", veiled.replace("###", "555")))
+    d = spark.createDataFrame(rows, "entity string, want string").withColumn("made", pii.surrogate(F.col("entity"), "k"))
+    assert [(r["entity"], r["made"]) for r in d.collect()] == rows
+
+
+def test_no_entity_stays_and_none_meet(spark):
+    texts = ["Mr. Đỗ met Mr. Żł and Dr. Ñu", "password: ------ and token = ........ stay", "password: -a---- goes", "(234) 242-0262 (574) 555-0744 (574) 556-0744"]
+    texts += ["___@example.com stays, __a@example.com and a@-.- go", "王小明先生 김철수 씨 السيد محمد علي श्री राम कुमार г-жа Иванова", "Mary Smith, MARY Smith and James Jones", "Prof. Dr. Ångström"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.entities(d).collect()
+    assert len(found) == 18 and all(r["entity"] != r["surrogate"] for r in found) and pii.collisions(d).count() == 0
+    made = replaced(spark, texts)
+    assert made[1] == texts[1] and made[4].startswith("___@example.com stays")
+    first = re.match(r"(\w+) (\w+), (\w+) (\w+) and (\w+) ", made[6])
+    assert first[1] in pii.GIVEN["f"] and first[3] == first[1].upper() and first[2] == first[4] and first[5] in pii.GIVEN["m"]
+    assert re.match(r"[一-鿿]{3}先生 [가-힣]{3} 씨 السيد ", made[5]) and " г-жа " in made[5]
+
+
+def test_reserved_and_fictional_ones_are_not_made(spark):
+    phones = [f"({a}) {e}-{n:04d}" for a in (234, 574) for e in range(550, 560) for n in range(0, 10000, 97)]
+    mails = [f"a@{x}{y}{z}t.{top}" for x in "eaioust" for y in "xse" for z in "as" for top in ("com", "net")] + ["a@test.org", "a@b.test", "a@example.com"]
+    d = spark.createDataFrame([(i, e) for i, e in enumerate([*phones, *mails])], "doc_id long, text string")
+    found = pii.entities(d).collect()
+    assert len(found) == len(set(phones + mails)) and pii.collisions(d).count() == 0
+    assert all((" 555-" in r["entity"]) == (" 555-" in r["surrogate"]) for r in found if r["kind"] == "phone")
+    assert all(r["surrogate"].endswith("@example.com") == r["entity"].endswith("@example.com") for r in found if r["kind"] == "email")
+
+
+def test_given_names_are_a_cycle_through_each_list():
+    pairs = dict(p.split(":") for p in pii.given_names("k").strip("|").split("|"))
+    for names in pii.GIVEN.values():
+        assert {pairs[n] for n in names} == set(names) and all(pairs[n] != n and pairs[n.upper()] == pairs[n].upper() for n in names)
+
+
+def test_every_letter_below_the_blocks_has_a_class():
+    import unicodedata
+
+    assert {c for c in map(chr, range(0x41, 0x2E00)) if unicodedata.category(c)[0] == "L"} == set(pii.ALPHABET["n"])
+    assert all(len(a) == len(set(a)) == len(pii._CLASS[s]) for s, a in pii.ALPHABET.items())
+
+
+def test_the_query_and_the_key_setting(spark, tmp_path):
+    d = docs(spark, [(i, t, "s") for i, t in enumerate([*TEXTS, *CLEAN])])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = pii.op1_pii(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == replaced(spark, [*TEXTS, *CLEAN]) and all(r["distinct"] for r in rows)
+    assert [r["n_entities"] for r in rows] == [3, 3, 3, 2, 3, 4, 0, 0, 0, 0]
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert [r["text"] for r in pii.op1_pii(spark, str(tmp_path)).orderBy("doc_id").collect()] == replaced(spark, [*TEXTS, *CLEAN], "another")
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_entities_are_replaced_whole(spark):
     token = "aB3-" * 150
     names = ["Mr. Juan Carlos Garcia Lopez", "Mr McDonald", "Mr. J. Smith", "Mrs O'Neil", "Miss J.R. D’Angelo"]
