@@ -42,8 +42,8 @@ COMMENTS = frozenset("comment comments commentlist disqus reply replies respond
 #: Words that mark an article; an element with one of these isn't taken for what is around it.
 WITHIN = frozenset("article content main post story entry body text".split())
 
-#: An element with more than this share of a page's text isn't taken for what is around an article, unless it is comments.
-MOST = 0.6
+#: Tags of headings.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: A sibling of the main text with this share of its text in links isn't part of it.
 LINKS = 0.5
@@ -73,7 +73,7 @@ def _hidden(attributes: str) -> bool:
 def _named_around(attributes: str, marks: frozenset[str] = AROUND) -> bool:
     """Whether a class, id or role names what is around an article: its first or last word does, as in sidebar-left.
 
-    Words such as has or no before it tell of something else's place. An element that is also named as the article, by
+    Words such as has or no before it, or enabled after it, tell of something else. An element that is also named as the article, by
     another class, isn't around it.
     """
     around = within = False
@@ -82,12 +82,24 @@ def _named_around(attributes: str, marks: frozenset[str] = AROUND) -> bool:
             value = entities.unescape(m[2] if m[2] is not None else m[3] if m[3] is not None else m[4])
             for name in value.split():
                 words = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
-                if words and words[0] not in ("has", "with", "no", "is", "without"):
+                if words and words[0] not in ("has", "with", "no", "is", "without") and words[-1] not in ("open", "closed", "enabled", "disabled", "on", "off"):
                     around |= words[0] in marks or words[-1] in marks
                     within |= len(words) == 1 and words[0] in WITHIN
     return around and not within
 
 
+def _named_within(attributes: str) -> bool:
+    """Whether an element is named as the article: by its id, or by a class of two or more such words, as in entry-content."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind = m[1].lower()
+        if kind in ("class", "id"):
+            for name in entities.unescape(m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]).split():
+                words = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
+                if len(words) >= (1 if kind == "id" else 2) and WITHIN.issuperset(words):
+                    return True
+    return False
+
+
 def parse(source: str) -> Node:
     """The tree of a page: open elements end as HTML's rules imply; what is cut off at the end of the page is kept."""
     root = Node("#root", None, False)
@@ -134,10 +146,10 @@ def parse(source: str) -> Node:
         child = Node(tag, node, node.drop or tag in DROPPED or outside or bool(attributes) and _hidden(attributes))
         named = bool(attributes) and tag not in ("html", "body", "main") and not child.drop
         child.comments = tag != "main" and (child.comments or named and _named_around(attributes, COMMENTS))
-        if tag == "main" or tag == "article" and not child.comments:
+        if tag == "main" or not child.comments and (tag == "article" or bool(attributes) and opened["#soft"] and _named_within(attributes)):
             up = node
             while opened["#soft"] and up.parent is not None:
-                up.soft, up = False, up.parent
+                up.soft, up.comments, up = False, up.comments and tag != "main", up.parent
         elif named and _named_around(attributes):
             child.soft = True
             opened["#soft"] += 1
@@ -191,34 +203,30 @@ def _blocks(node: Node) -> list[tuple[Node, str]]:
 
 
 def _measure(root: Node) -> None:
-    """Sets each element's length of kept text and of the part of it in links.
+    """Drops what is named as being around an article, and sets each element's length of kept text and of its part in links.
 
-    Elements named as being around an article go, unless they hold most of the page's text. Those named as comments go
-    whatever they hold, unless no text but headings and links is left.
+    Readers' comments go whatever else there is. Other named elements go as well, unless no text but headings and links
+    is left outside them, which shows that the name is a wrapper's; an element that holds the article was never taken for
+    what is around it. How much of the page an element holds doesn't matter.
     """
     order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
         stack.extend(c for c in n.children if isinstance(c, Node) and not c.drop)
+    named = [n for n in order if n.soft and not n.comments]
+    for n in order:
+        n.drop = n.drop or n.soft or n.comments
     for again in (False, True):
         for n in reversed(order):
             own = sum(len(_SPACE.sub(" ", c)) for c in n.children if isinstance(c, str))
             inner = [c for c in n.children if isinstance(c, Node) and not c.drop]
             n.length = own + sum(c.length for c in inner)
             n.linked = (own if n.in_link else 0) + sum(c.linked for c in inner)
-        soft = [n for n in order if n.soft]
-        if again or not soft:
+        if again or not named or any(holder.tag not in HEADINGS and _density(holder) < 1 for holder, _ in _blocks(root)):
             break
-        for n in soft:
-            n.drop = n.length <= MOST * root.length
-        threads = [n for n in soft if n.comments]
-        most = any(not n.drop for n in threads)
-        for n in threads:
-            n.drop = True
-        if most and not any(not re.fullmatch("h[1-6]", holder.tag) and _density(holder) < 1 for holder, _ in _blocks(root)):
-            for n in threads:
-                n.drop = False
+        for n in named:
+            n.drop = False
 
 
 def _density(node: Node) -> float:
@@ -233,7 +241,7 @@ def extract(source: str) -> str:
     scored: dict[int, Node] = {}
     for holder, text in blocks:
         points = 1 + text.count(",") + min(len(text) / 100, 3.0)
-        leaf = holder.tag in LEAVES or re.fullmatch("h[1-6]", holder.tag)
+        leaf = holder.tag in LEAVES or holder.tag in HEADINGS
         up = holder.parent if leaf and holder.parent is not None else holder
         level = 0
         while up is not None and level < 6:
@@ -254,7 +262,7 @@ def extract(source: str) -> str:
             if not isinstance(s, Node) or s.drop or not s.length:
                 continue
             if s is not best:
-                if re.fullmatch("h[1-6]", s.tag):  # a heading goes with what follows it
+                if s.tag in HEADINGS:  # a heading goes with what follows it
                     keep = following
                 else:
                     keep = _density(s) < LINKS
