@@ -6,17 +6,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import per_text, table, written
+from .common import cut, looked_up, per_text, table, written
 from .components import components
 
 SHINGLE = 3
 BITS = 64
 MAX_DIFFERENT = 2
 XX_SEED = 42
-#: Segments of the ring, as (lowest bit, width); more than MAX_DIFFERENT, so one of them is equal in linked fingerprints.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Members up to which a segment's bucket is compared pair by pair; larger ones are linked through shared neighbours.
-BUCKET = 32
+#: Segments of the ring, of four or five bits.
+SEGMENTS = 15
+#: Members up to which a bucket is compared pair by pair. Buckets have 29 bits or 30, so chance alone fills one with 20
+#: members only at ten thousand million fingerprints; larger ones hold texts from one mould and take the way of links().
+BUCKET = 128
+#: Where each segment begins, and the end of the ring.
+LOW = [i * BITS // SEGMENTS for i in range(SEGMENTS + 1)]
+#: For each number of different bits, the longest chain of segments that may have no more: l segments may differ in
+#: l / SEGMENTS of MAX_DIFFERENT bits.
+CHAINS = [max(n for n in range(1, SEGMENTS + 1) if n * MAX_DIFFERENT // SEGMENTS == d) for d in range(MAX_DIFFERENT + 1)]
 
 
 def fingerprints_of(texts: list, shingle: int = SHINGLE) -> list[int]:
@@ -47,49 +53,73 @@ def fingerprints(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     return per_text(docs, "fp long", lambda: lambda texts: (fingerprints_of(texts),), keys, text)
 
 
-def _segment(fp: Column, i: int) -> Column:
-    low, width = SEGMENTS[i]
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+def chain_bits(start: int, length: int) -> int:
+    """The bits of so many consecutive segments of the ring, from one on."""
+    return sum(1 << b for i in range(start, start + length) for b in range(LOW[i % SEGMENTS], LOW[i % SEGMENTS + 1]))
 
 
-def _chain(a: Column, b: Column, start: int) -> Column:
-    """The pigeonring condition from one segment on: the first l segments of the ring differ in l/m of the bits at most."""
-    m, total, holds = len(SEGMENTS), F.lit(0), F.lit(True)
-    for step in range(m):
-        i = (start + step) % m
-        total = total + F.bit_count(_segment(a, i).bitwiseXOR(_segment(b, i)))
-        holds = holds & (total * m <= (step + 1) * MAX_DIFFERENT)
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << BITS) if bits >> (BITS - 1) else bits).cast("long")
+
+
+def _buckets(fp: Column) -> Column:
+    """For each start, the bits of the chain that must be equal; which bits they are is told by the start."""
+    equal = [fp.bitwiseAND(_signed(chain_bits(i, CHAINS[0]))) for i in range(SEGMENTS)]
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), bits.alias("s")) for i, bits in enumerate(equal)]))
+
+
+def viable(a: Column, b: Column, start: Column) -> Column:
+    """The pigeonring condition: no chain of the ring from start on differs in more than its share of MAX_DIFFERENT bits.
+
+    Differences add up along a chain, so the longest one of each budget speaks for the shorter ones.
+    """
+    different, holds = a.bitwiseXOR(b), F.lit(True)
+    for budget, length in enumerate(CHAINS):
+        bits = F.get(F.array(*[_signed(chain_bits(i, length)) for i in range(SEGMENTS)]), start)
+        holds = holds & (F.bit_count(different.bitwiseAND(bits)) <= budget)
     return holds
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between different fingerprints whose components are those of all pairs within MAX_DIFFERENT bits.
 
-    distinct: a column fp of distinct fingerprints. Fingerprints meet in buckets of an equal ring segment. In buckets of
-    BUCKET members at most, pairs that start a viable chain at that segment go to the Hamming check. Members of larger
-    buckets link through every value within one bit of them: two fingerprints differ in two bits at most exactly if they
-    share such a value, and at most BITS + 1 fingerprints share one, so no group grows with the data.
+    distinct: a column fp of distinct fingerprints. Of two that link, one chain of the ring has no more differences than
+    its share, from its start on: its first CHAINS[0] segments are equal. Fingerprints meet in buckets of such segments;
+    pairs go on to the Hamming check if the whole chain is viable. Buckets are as wide as differences allow, so they stay
+    small however many fingerprints there are. Members of buckets of more than BUCKET link through every value
+    within one bit of them: two fingerprints differ in two bits at most exactly if they share such a value, and at most
+    BITS + 1 fingerprints share one, so no group grows with the data.
     """
-    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _segment(F.col("fp"), i).alias("s")) for i in range(len(SEGMENTS))]))
-    keyed = distinct.select("fp", parts.alias("k")).select("fp", "k.i", "k.s")
+    keyed = distinct.select("fp", _buckets(F.col("fp")).alias("k")).select("fp", "k.i", "k.s")
     counts = keyed.groupBy("i", "s").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(counts.hint("shuffle_hash"), ["i", "s"])
+    met = written(keyed.join(counts.hint("shuffle_hash"), ["i", "s"]))
     few = met.filter(F.col("n") <= BUCKET).groupBy("i", "s").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     first = few.select("i", "fps", F.posexplode("fps").alias("p", "a"))
     pairs = first.select("i", "a", F.explode(F.slice("fps", F.col("p") + 2, F.lit(BUCKET))).alias("b"))
-    viable = F.lit(False)
-    for start in range(len(SEGMENTS)):
-        viable = viable | ((F.col("i") == start) & _chain(F.col("a"), F.col("b"), start))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DIFFERENT
-    direct = pairs.filter(viable).filter(close).select("a", "b")
+    direct = pairs.filter(viable(F.col("a"), F.col("b"), F.col("i"))).filter(close).select("a", "b")
     crowded = met.filter(F.col("n") > BUCKET).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
+    flips = F.array(F.lit(0).cast("long"), *[_signed(1 << i) for i in range(BITS)])
     near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"))
     star = near.groupBy("v").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     star = star.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
     return direct.unionByName(star).distinct()
 
 
+def labelled(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of prints (doc_id, fp) whose fingerprints are linked by edges.
+
+    A fingerprint that very many rows have is looked up by a broadcast, see looked_up().
+    """
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    roots = components(edges)
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = cut(named)
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    linked = cut(looked_up(named, cut(smallest).withColumnRenamed("n", "members"), ["root"], "members").select("fp", "n", "component_id"))
+    return looked_up(prints, linked, ["fp"]).select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each document; component_id is the smallest doc_id reachable, itself included.
 
@@ -99,12 +129,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     has an id. An empty table gives an empty result; other columns are ignored.
     """
     prints = written(fingerprints(docs, text))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(linked, prints["fp"] == linked["__fp"]).select("doc_id", "fp", "component_id")
+    return labelled(prints, links(prints.select("fp").distinct()))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", found: DataFrame | None = None) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from .arrays import word_hashes
 from .common import broadcast_if_small, per_text, written
-from .components import components
 from .decontaminate import grams
-from .simhash import fingerprints_of, links
+from .simhash import fingerprints_of, labelled, links
 
 #: Words of a shingle, and the least Jaccard similarity of near-duplicates' sets of shingles.
 SHINGLE, SIMILAR = 5, 0.8
@@ -95,9 +94,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILA
     ids = prints.select("doc_id", "fp", "node")
     edges = links(ids.select("fp").distinct()).unionByName(similar_pairs(docs, prints, text, similar))
     edges = edges.unionByName(ids.select(F.col("fp").alias("a"), F.col("node").alias("b")).distinct())
-    roots = components(edges)
-    least = ids.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return ids.join(linked, ids["fp"] == linked["__fp"]).select("doc_id", "fp", "component_id")
+    return labelled(ids.select("doc_id", "fp"), edges)

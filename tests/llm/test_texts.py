@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairfield.llm import components, html, media, simhash, substrings, tokens
+from pairfield.llm import common, components, html, media, simhash, substrings, tokens
 
 DOCS = "doc_id long, text string"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -214,7 +214,42 @@ def test_fingerprint_definition():
     assert simhash.fingerprints_of([None]) == [0]
 
 
-def test_links_of_chosen_fingerprints(spark):
+def test_chains_are_the_pigeonring_condition():
+    rnd = random.Random(4)
+    segments = [simhash.chain_bits(i, 1) for i in range(simhash.SEGMENTS)]
+    assert sum(segments) == (1 << 64) - 1 and simhash.chain_bits(13, 4) == segments[13] | segments[14] | segments[0] | segments[1]
+    for _ in range(300):
+        x = sum(1 << b for b in rnd.sample(range(64), rnd.randrange(5)))
+        each = [(x & s).bit_count() for s in segments]
+        m, most = simhash.SEGMENTS, simhash.MAX_DIFFERENT
+        by_definition = [all(sum(each[(i + j) % m] for j in range(n)) * m <= n * most for n in range(1, m + 1)) for i in range(m)]
+        by_chains = [all((x & simhash.chain_bits(i, n)).bit_count() <= d for d, n in enumerate(simhash.CHAINS)) for i in range(m)]
+        assert by_definition == by_chains and any(by_chains) == (x.bit_count() <= most)
+
+
+def test_links_at_the_density_of_a_hundred_million(spark):
+    """A third of all bits random: buckets of 10 bits instead of 30, a thousand fingerprints in for a thousand million."""
+    rng = np.random.default_rng(6)
+    mask = np.uint64(sum(1 << b for b in range(0, 64, 3)))
+    values = np.unique(rng.integers(0, 1 << 64, 1500, dtype=np.uint64) & mask)
+    d = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    near = np.bitwise_count(values[:, None] ^ values[None, :])
+    pairs = {(int(a), int(b)) for a, b in np.argwhere((near <= 2) & (near > 0)) if a < b}
+    met = d.select("fp", simhash._buckets(F.col("fp")).alias("k"))
+    other = met.select(F.col("fp").alias("b"), F.col("k").alias("kb"))
+    both = met.join(other, F.col("k") == F.col("kb")).filter("fp < b")
+    ring = both.filter(simhash.viable(F.col("fp"), F.col("b"), F.col("k.i")))
+    n_met, n_ring = both.count(), ring.select("fp", "b").distinct().count()
+    assert n_ring == len(pairs) > 0 and n_met > 3 * n_ring
+    signed = values.view(np.int64)
+    edges = simhash.links(d).collect()
+    assert all(np.bitwise_count(np.uint64((e["a"] ^ e["b"]) & (1 << 64) - 1)) <= 2 for e in edges)
+    assert len(edges) == len(pairs) == len({frozenset((int(signed[a]), int(signed[b]))) for a, b in pairs} & {frozenset((e["a"], e["b"])) for e in edges})
+
+
+@pytest.mark.parametrize("bucket", [4, simhash.BUCKET])
+def test_links_of_chosen_fingerprints(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rnd = random.Random(2)
     base = [rnd.getrandbits(64) for _ in range(40)]
     prints = set(base) | {0}
@@ -239,10 +274,12 @@ def test_links_of_chosen_fingerprints(spark):
             assert {roots[m] for m in members} == {min(members)}
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
     rnd = random.Random(3)
     words = [f"v{i}" for i in range(200)]
-    texts = ["", None, "  ", "one", "one"]
+    texts = ["", None, "  ", "one", "one", *["mass copy of one text"] * 9, "long " * 60_000 + "end"]
     for _ in range(60):
         t = [rnd.choice(words) for _ in range(400)]
         texts.append(" ".join(t))
