@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
 from .arrays import NOT_ALNUM, word_hashes
 from .common import rows_where, slices, table
@@ -32,6 +34,8 @@ THRESHOLD = 0.6
 BLOCK_ITEMS = 20_000
 #: Documents that are worked on at once, if they aren't long.
 SLICE = 256
+#: Words of a document that are aligned at once, unless an item is that long; parts overlap by what an alignment can span.
+STRETCH = 1 << 15
 
 
 def _parted(text: str) -> str:
@@ -140,7 +144,10 @@ class Seeds:
 
 
 class Matcher:
-    """Finds the items that documents copy; every alignment that reaches the threshold is found, see _bounds()."""
+    """Finds the items that documents copy; every alignment that reaches the threshold is found, see _bounds().
+
+    items: pairs of a number and words; the best copy of all items of one number is found.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
         self.items, self.threshold = items, threshold
@@ -177,14 +184,17 @@ class Matcher:
         return Seeds(words, np.concatenate(hashes), np.concatenate(owner))
 
     def __call__(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, int, int]]]:
-        """For each text's words, (item_id, share of the full score, first word, word after the last) of each item that they copy."""
+        """For each text's words, (number, share of the full score, first word, word after the last) of each item that they copy."""
         out: list[dict] = [{} for _ in texts]
         ends = np.cumsum([len(ids) for ids in texts])
         flat, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(ids) for ids in texts])
         for seeds in self.seeds:
             for k, d, left, right in self._regions(seeds, flat, doc):
                 begin = ends[d] - len(texts[d])
-                self._judge(k, texts[d], max(0, left - begin), min(len(texts[d]), right - begin), out[d])
+                left, right, span = max(0, left - begin), min(len(texts[d]), right - begin), int(self.span[k])
+                step = max(STRETCH, 4 * span)  # an alignment lies within one part, as parts overlap by its span
+                for at in range(left, max(left + 1, right - span), step - span):
+                    self._judge(k, texts[d], at, min(right, at + step), out[d])
         for seeds in self.whole:
             owner, at = seeds.find(flat, doc)
             for k, a in zip(owner.tolist(), at.tolist(), strict=True):
@@ -231,31 +241,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     One pass over the documents, without a shuffle: stretches that share as many seeds with an item as any alignment that
     reaches the threshold must are aligned, so the result is that of aligning every document with every item. Items go in
-    blocks of a fixed number, so what is broadcast is bounded.
+    blocks of a fixed number, so what is broadcast is bounded; each further block is a further pass.
     Words are compared in lower case; punctuation only parts them. Null or empty texts match nothing; of items
     of fewer than LEAST_WORDS words only exact copies count, and items without a word match nothing; characters of scripts
-    without spaces are words. Repeated rows give a row each; ties go to the earliest place. An empty table on either side gives an empty result; other columns are ignored.
+    without spaces are words. Ids may be of any type. Items that share an id count as one, by their best copy; items with a
+    null id are each their own. Repeated rows give a row each; ties go to the earliest place. An empty table on either
+    side gives an empty result; other columns are ignored.
     """
-    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, score double, first_word long, end_word long"
-    parts = []
+    picked = docs.select("doc_id", F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
+    schema = StructType([docs.schema["doc_id"], benchmark.schema["item_id"]]).add("score", "double").add("first_word", "long").add("end_word", "long")
+    for f in schema.fields:
+        f.nullable = True
+    target, parts = to_arrow_schema(schema), []
     for shared in _searches(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            match = Matcher(shared.value, threshold)
+            items, ids = shared.value
+            match = Matcher(items, threshold)
             for batch in batches:
-                keys, found = [], []
+                rows, found, at = [], [], 0
                 for part in slices(batch, 1, SLICE):
-                    for key, hits in zip(part.column(0).to_pylist(), match(words_of(part.column(1).to_pylist())), strict=True):
-                        keys += [key] * len(hits)
+                    for i, hits in enumerate(match(words_of(part.column(1).to_pylist()))):
+                        rows += [at + i] * len(hits)
                         found += hits
-                columns = [pa.array(keys, batch.schema.field(0).type)]
-                for i, kind in enumerate((None, pa.float64(), pa.int64(), pa.int64())):
-                    columns.append(pa.array([h[i] for h in found], kind or pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "first_word", "end_word"])
+                    at += part.num_rows
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), ids.take(pa.array([h[0] for h in found], pa.int64()))]
+                columns += [pa.array([h[i] for h in found]) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-        found = docs.select("doc_id", F.col(text).cast("string").cast("binary").alias("t")).mapInArrow(run, schema.replace(f"item_id {item_type}", "item_id bigint"))
-        parts.append(found.withColumn("item_id", F.col("item_id").cast(item_type)))
+        parts.append(picked.mapInArrow(run, schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     out = parts[0]
@@ -266,22 +280,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def _searches(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """The blocks of items, broadcast."""
-    for items in _blocks(benchmark):
-        yield docs.sparkSession.sparkContext.broadcast(items)
+    for block in _blocks(benchmark):
+        yield docs.sparkSession.sparkContext.broadcast(block)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items in blocks of BLOCK_ITEMS, by id, streamed to the driver; each block is dropped before the next."""
-    rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("t"))
-    block: list[tuple[int, np.ndarray]] = []
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, np.ndarray]], pa.Array]]:
+    """Blocks of BLOCK_ITEMS items, by id, streamed to the driver; each is dropped before the next. Items, and the id of
+    each number."""
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
+    rows = benchmark.select("item_id", F.col("text").cast("string").cast("binary").alias("t")).distinct()
+    items: list[tuple[int, np.ndarray]] = []
+    ids: list = []
     for r in rows.orderBy("item_id", "t").toLocalIterator():
-        ids = words_of([r["t"]])[0]
-        block += [(r["item_id"], ids)] if len(ids) else []
-        if len(block) >= BLOCK_ITEMS:
-            yield block
-            block = []
-    if block:
-        yield block
+        words = words_of([r["t"]])[0]
+        if not len(words):
+            continue
+        same = ids and r["item_id"] is not None and ids[-1] == r["item_id"]
+        if not same and len(items) >= BLOCK_ITEMS:
+            yield items, pa.array(ids, kind)
+            items, ids = [], []
+        if not same:
+            ids.append(r["item_id"])
+        items.append((len(ids) - 1, words))
+    if items:
+        yield items, pa.array(ids, kind)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -289,7 +311,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, t
     for shared in _searches(docs, benchmark):
 
         def make(shared=shared):
-            match = Matcher(shared.value, threshold)
+            match = Matcher(shared.value[0], threshold)
             return lambda texts: [not hits for hits in match(words_of(texts))]
 
         docs = rows_where(docs, make, text)

@@ -138,6 +138,8 @@ def test_leaks_are_found_and_nothing_else(leaked):
     rows = decontaminate.contaminated(docs, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == truth
     assert sum(r["doc_id"] == 902 for r in rows) == 2 and all(r["score"] >= decontaminate.THRESHOLD for r in rows)
+    named = decontaminate.contaminated(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text", "1 AS item_id", "2 AS score"), bench.selectExpr("concat('q', item_id) AS item_id", "text"))
+    assert {(r["doc_id"], r["item_id"]) for r in named.collect()} == {(str(d), f"q{k}") for d, k in truth}
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in truth}
 
@@ -167,6 +169,33 @@ def test_edited_copies_match_brute_force(spark):
     assert made == want and len(want) > 60
 
 
+def test_items_without_an_id_or_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    rnd = random.Random(8)
+    items = [prose(rnd, 30) for _ in range(4)]
+    docs = spark.createDataFrame([(i, f"{prose(rnd, 9)} {t}", "en", "s", 1) for i, t in enumerate(items)], DOCS)
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (None, items[1]), (7, items[2]), (7, items[3]), (8, "the")], "item_id long, text string")
+    made = sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contaminated(docs, bench.filter("text <> 'the'")).collect())
+    assert made == [(0, None, 1.0), (1, None, 1.0), (2, 7, 1.0), (3, 7, 1.0)]
+    assert decontaminate.clean(docs, bench.filter("text <> 'the'")).count() == 0
+
+
+def test_parts_of_a_long_stretch_agree(monkeypatch):
+    rnd = random.Random(10)
+    item = prose(rnd, 40).split()
+    text = []
+    for i in range(60):  # copies all along a document, the last ones whole
+        copy = item[:]
+        for at in rnd.sample(range(40), 0 if i > 50 else 9):
+            copy[at] = "edited"
+        text += [*copy, *prose(rnd, rnd.randrange(30)).split()]
+    words = decontaminate.words_of([" ".join(item).encode(), " ".join(text).encode()])
+    whole = decontaminate.Matcher([(0, words[0])], 0.6)(words[1:])
+    assert whole[0][0][:2] == (0, 1.0)
+    monkeypatch.setattr(decontaminate, "STRETCH", 1)
+    assert decontaminate.Matcher([(0, words[0])], 0.6)(words[1:]) == whole
+
+
 def test_short_items_and_scripts_without_spaces(spark):
     items = ["Who wrote Faust?", "水的沸点是多少度？", "ประเทศไทยมีกี่จังหวัด", "東京", "...", "what"]
     rows = ["one: WHO wrote faust", "who wrote the faust", "前文水的沸點是多少度呢，后文", "ข้อความประเทศไทยมีกี่จังหวัดครับ", "私は東京に住む", "京東", "the what, what", "水的", None]
