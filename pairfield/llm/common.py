@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +44,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that written() has made within temporary(), the innermost last.
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like cut(), as a Parquet table in the shared folder: columnar and compressed, for wide rows.
 
-    Tables stay there under stage-*, as lazy results may still need them; whoever owns the folder clears it.
+    Within temporary() it goes when that ends. Otherwise it stays under stage-*, as lazy results may still need it;
+    whoever owns the folder clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders, wherever they are."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes inside are deleted at the end: results must have been written elsewhere by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        removed(spark, _MADE.pop())
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has no more rows than that; reads at most one row beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import word_hashes
-from .common import broadcast_if_small, per_text, written
+from .common import broadcast_if_small, cut, looked_up, per_text, slices, written
+from .components import components
 from .decontaminate import grams
 from .simhash import fingerprints_of, labelled, links
 
@@ -16,6 +21,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: About so many rows are sampled for shingles that many texts share. They come last in the order, which saves work only:
 #: any order that is the same for all texts finds all pairs.
 SAMPLE_ROWS, HEAVY, HEAVY_MOST = 20_000, 5, 200_000
+#: Turns in which the sets that meet are compared with one of them.
+LEADERS = 2
 
 
 def shingles_of(texts: list, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -48,31 +55,77 @@ def _heavy(docs: DataFrame, text: str) -> np.ndarray:
     return np.sort(np.array([r["s"] for r in shared.orderBy(F.desc("n"), "s").limit(HEAVY_MOST).collect()], np.int64))
 
 
+def _could(n: str, m: str, p: str, q: str, similar: float) -> Column:
+    """Whether sets of n and m shingles that meet at places p and q, the first that they share, can be similar at all."""
+    n, m, p, q = map(F.col, (n, m, p, q))
+    most = F.least(n - p, m - q)
+    return (F.least(n, m) >= F.greatest(n, m) * similar - 1e-9) & (most * (1 + similar) >= (n + m) * similar - 1e-6)
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Of pairs (a, b), those whose texts are similar; texts: (node, z)."""
+    left, right = (texts.select(F.col("node").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part in slices(batch, 2, 256):
+                a, b, za, zb = (part.column(i).to_pylist() for i in range(4))
+                packed = dict(zip(a, za, strict=True)) | dict(zip(b, zb, strict=True))
+                sets = dict(zip(packed, shingles_of([unpack(z) for z in packed.values()]), strict=True))
+                shared = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
+                near = [c >= (len(sets[x]) + len(sets[y]) - c) * similar - 1e-9 for x, y, c in zip(a, b, shared, strict=True)]
+                yield part.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+
+
 def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): all pairs of different sets of shingles, by their digests, whose Jaccard similarity reaches similar."""
+    """(a, b): pairs of sets of shingles, by their digests, that connect the same sets as all pairs of that similarity.
+
+    Sets meet at each shingle that their prefixes share. First all that meet somewhere are compared with one of them, the
+    leader, so a group of copies of one text is connected by as many pairs as it has members. Then only pairs that
+    aren't connected yet are compared: those of a set outside its leader's component with all others in its group.
+    """
     nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = nodes.select("node", "n", F.explode("prefix").alias("s"))
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("__times")).filter("__times > 1").select("s")
     met = written(rows.join(shared.hint("shuffle_hash"), "s"))
-    a, b = (met.select("s", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9
-    pairs = written(a.join(b, "s").filter(F.col("a") < F.col("b")).filter(near).select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__w")).distinct()
+    wanted = cut(met.select(F.col("node").alias("__w")).distinct())
 
     def make():
-        def work(texts: list) -> tuple[list[int], list[np.ndarray]]:
-            sets = shingles_of(texts)
-            return [_node(s) for s in sets], sets
-
-        return work
-
-    sets = per_text(docs, "node long, set array<long>", make, (), text)
-    sets = sets.join(broadcast_if_small(wanted), sets["node"] == F.col("__w"), "left_semi")
-    sets = written(sets.dropDuplicates(["node"]))
-    left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("seta", "setb"))
-    return both.filter(common >= (F.size("seta") + F.size("setb") - common) * similar - 1e-9).select("a", "b")
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return lambda texts: ([_node(s) for s in shingles_of(texts)], [squeeze(t or b"") for t in texts])
+
+    texts = per_text(docs, "node long, z binary", make, (), text)
+    texts = texts.join(broadcast_if_small(wanted), texts["node"] == F.col("__w"), "left_semi")
+    texts = written(texts.dropDuplicates(["node"]))
+    tried, edges = [], []
+    for turn in range(LEADERS):
+        by = F.xxhash64("node", F.lit(turn))
+        leaders = cut(met.groupBy("s").agg(*[F.min_by(c, by).alias(f"_{c}") for c in ("node", "n", "p")], F.count("*").alias("k")))
+        found = looked_up(met, leaders, ["s"], "k").filter("node <> _node").filter(_could("n", "_n", "p", "_p", similar))
+        tried.append(written(found.select(*_pair("node", "_node")).distinct()))
+        edges.append(written(_confirmed(tried[-1], texts, similar)))
+    known, seen = (reduce(DataFrame.unionByName, x) for x in (edges, tried))
+    labels = components(known).select(F.col("node").alias("__n"), "root")
+    named = met.join(labels, met["node"] == labels["__n"], "left").select("s", "node", "n", "p", F.coalesce("root", "node").alias("root"))
+    named = written(named)
+    groups = named.groupBy("s").agg(F.min_by("root", F.xxhash64("node", F.lit(0))).alias("first"), F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = written(looked_up(named, cut(groups.filter("low <> high").drop("low", "high")), ["s"], "k"))
+    others = mixed.filter("root <> first").drop("first")
+    every = mixed.select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "p", "root")])
+    rest = others.join(every, "s").filter("root <> _root").filter(_could("n", "_n", "p", "_p", similar))
+    rest = rest.select(*_pair("node", "_node")).distinct().join(seen, ["a", "b"], "left_anti")
+    return known.unionByName(_confirmed(rest, texts, similar))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
