@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pairfield.llm import decontaminate, mixing, pii, quality, simhash, similar
-from pairfield.llm.common import shared_dir, table
+from pairfield.llm.common import removed, shared_dir, table, temporary
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What stages write on the way is deleted, each stage's output as soon as the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), []
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
-        docs = spark.read.parquet(f"{base}/{i}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        removed(spark, before)
+        before = [f"{base}/{i}"]
+        docs = spark.read.parquet(*before)
     return docs
