@@ -21,6 +21,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: About so many rows are sampled for shingles that many texts share. They come last in the order, which saves work only:
 #: any order that is the same for all texts finds all pairs.
 SAMPLE_ROWS, HEAVY, HEAVY_MOST = 20_000, 5, 200_000
+#: Shingles of texts that a task remembers while it compares pairs.
+REMEMBERED = 4_000_000
 #: Turns in which the sets that meet are compared with one of them.
 LEADERS = 2
 
@@ -41,7 +43,7 @@ def _node(shingles: np.ndarray) -> int:
 def _prefix(shingles: np.ndarray, heavy: np.ndarray, similar: float) -> np.ndarray:
     """The first shingles, of which similar sets share one: all but the share that must be common, and one."""
     n = len(shingles)
-    rank = np.isin(shingles, heavy)
+    rank = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles if len(heavy) else np.zeros(n, bool)
     order = np.argsort(rank, kind="stable")
     return shingles[order[: n - int(np.ceil(similar * n - 1e-9)) + 1]] if n else shingles
 
@@ -66,6 +68,12 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of the numbers of x are in y; both are sorted as unsigned numbers, see shingles_of()."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)) if len(y) else 0
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Of pairs (a, b), those whose texts are similar; texts: (node, z)."""
     left, right = (texts.select(F.col("node").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
@@ -73,13 +81,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, sets, size = zstandard.ZstdDecompressor().decompress, {}, 0
         for batch in batches:
             for part in slices(batch, 2, 256):
-                a, b, za, zb = (part.column(i).to_pylist() for i in range(4))
-                packed = dict(zip(a, za, strict=True)) | dict(zip(b, zb, strict=True))
-                sets = dict(zip(packed, shingles_of([unpack(z) for z in packed.values()]), strict=True))
-                shared = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
+                a, b = (part.column(i).to_pylist() for i in (0, 1))
+                if size > REMEMBERED:
+                    sets, size = {}, 0
+                new = {x: i for k, nodes in enumerate((a, b)) for i, x in enumerate(nodes, k * part.num_rows) if x not in sets}
+                at = [(2 + i // part.num_rows, i % part.num_rows) for i in new.values()]
+                made = dict(zip(new, shingles_of([unpack(part.column(c)[i].as_py()) for c, i in at]), strict=True))
+                size += sum(map(len, made.values()))
+                sets |= made
+                shared = [_common(sets[x], sets[y]) for x, y in zip(a, b, strict=True)]
                 near = [c >= (len(sets[x]) + len(sets[y]) - c) * similar - 1e-9 for x, y, c in zip(a, b, shared, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
@@ -125,7 +138,8 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float
     every = mixed.select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "p", "root")])
     rest = others.join(every, "s").filter("root <> _root").filter(_could("n", "_n", "p", "_p", similar))
     rest = rest.select(*_pair("node", "_node")).distinct().join(seen, ["a", "b"], "left_anti")
-    return known.unionByName(_confirmed(rest, texts, similar))
+    rest = written(rest)
+    return known.unionByName(written(_confirmed(rest, texts, similar)))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
