@@ -123,14 +123,15 @@ def coverage(cells: DataFrame, places: DataFrame, options: CoverageOptions) -> C
     """Valid counts and fractions per pixel of the region, from cells that carry their observation's metadata.
 
     places: the pixels of the grid (y, x), which need not all have a cell. The fraction's denominator is the number of
-    selected observations, counted over the whole cube.
+    selected observations, counted over the whole cube. Where cells have a cube_id, an index is one observation per cube.
     """
     chosen = obs.selected(cells, options.selection)
+    key = [c for c in ("cube_id", "observation_index") if c in cells.columns]
     region = options.region.contains()
-    n = chosen.agg(F.count_distinct("observation_index").alias("n"))
+    n = chosen.agg(F.count_distinct(F.struct(*key)).alias("n"))
     pixels = cov.fraction(cov.coverage(chosen, places, cov.valid(velocity(cells), options.missing), region), n)
-    observations = cells.dropDuplicates(["observation_index"])
-    return Coverage(pixels, cov.statistics(pixels), cov.shares(pixels), obs.funnel(observations, options.selection), chosen.dropDuplicates(["observation_index"]), options)
+    observations = cells.dropDuplicates(key)
+    return Coverage(pixels, cov.statistics(pixels), cov.shares(pixels), obs.funnel(observations, options.selection), chosen.dropDuplicates(key), options)
 
 
 def multi_coverage(cells: DataFrame, tiles: DataFrame, pixels: DataFrame, options: CoverageOptions, strip: float) -> tuple[DataFrame, DataFrame]:

@@ -92,6 +92,12 @@ def scenes(pair_id: Column) -> Column:
     return F.regexp_extract_all(pair_id, F.lit(SCENE), F.lit(0))
 
 
+def two_scenes(pair_id: Column) -> Column:
+    """The two scene identifiers of a pair; any other number of them is an error."""
+    found = scenes(pair_id)
+    return F.when(F.size(found) == 2, found).otherwise(F.raise_error(F.concat(F.lit("a pair needs exactly two scenes: "), F.coalesce(pair_id, F.lit("null")))))
+
+
 def orbit_direction(first: Column, second: Column) -> Column:
     """1 if both images ascend, 2 if both descend, 3 if they differ, 0 if either is unknown."""
     up = lambda c: F.lower(F.trim(c)).startswith("asc")

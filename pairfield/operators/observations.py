@@ -103,7 +103,9 @@ def check_selection(observations: DataFrame, s: Selection) -> None:
 
 
 def mission_inventory(observations: DataFrame, start: str, end: str) -> DataFrame:
-    return observations.filter(within(F.col("mid_date"), start, end)).groupBy("mission").agg(F.count("*").alias("n_observations"))
+    """Observations per mission within a time range, the most frequent first."""
+    counted = observations.filter(within(F.col("mid_date"), start, end)).groupBy("mission").agg(F.count("*").alias("n_observations"))
+    return counted.orderBy(F.desc("n_observations"), "mission")
 
 
 KEY_FIELDS = ("mid_date", "date_img1", "date_img2", "pair_days", "mission_img1_normalized", "mission_img2_normalized", "satellite_img1", "satellite_img2")

@@ -732,8 +732,9 @@ def raster_rows(spark, d):
 def coordinate_summary(spark, d):
     def axis(name, table, column):
         c = F.col(column).cast("long")
-        first = F.array_join(F.slice(F.sort_array(F.collect_set(c)), 1, 8), ",")
-        return read(spark, d, table).agg(F.lit(name).alias("axis"), F.min(c).alias("low"), F.max(c).alias("high"), first.alias("first_values"))
+        rows = read(spark, d, table).select(c.alias("c"))
+        head = rows.filter("c IS NOT NULL").distinct().orderBy("c").limit(8).agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("first_values"))
+        return rows.agg(F.lit(name).alias("axis"), F.min("c").alias("low"), F.max("c").alias("high")).crossJoin(F.broadcast(head))
 
     return axis("x", "supplier", "s_nationkey").unionByName(axis("y", "part", "p_size"))
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from pairfield.functions import geo, text
+from pairfield.functions import geo, mission, text
 from pairfield.functions import time as dates
 
 
@@ -98,3 +98,11 @@ def test_areas_and_envelopes(spark):
     assert geo.polar_point(100.0, -68.0) == pytest.approx((one(spark, x), one(spark, y)))
     west, south, east, north = geo.projected_envelope(99, -69, 101, -67)
     assert west < one(spark, x) < east and south < one(spark, y) < north
+
+
+def test_two_scenes_or_an_error(spark):
+    one = "S1B_IW_SLC__1SSH_20210104T101112_20210104T101139_025012_02FA3C_B1C2"
+    d = spark.createDataFrame([(f"{one}_X_{one.replace('0104', '0116')}_G0120V02_P094.nc", one)], "pair string, single string")
+    assert len(d.select(mission.two_scenes(F.col("pair"))).first()[0]) == 2
+    with pytest.raises(Exception, match="exactly two scenes"):
+        d.select(mission.two_scenes(F.col("single"))).collect()
