@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -18,10 +19,50 @@ FRAME = 576
 RATE = 8000
 
 
-# Validators: (data, offset) -> length of a well-formed object that starts there, or 0.
-
-
-def _wav(d: bytes, at: int) -> int:
+class Marks:
+    """What validators look up in one text: places of end marks and ways through chains, each worked out once."""
+
+    def __init__(self, d: bytes):
+        self.d, self.places, self.ends = d, {}, {}
+        self._archives: dict[int, int] | None = None
+
+    def of(self, mark: bytes) -> list[int]:
+        """All places of a mark, in order."""
+        if mark not in self.places:
+            found, at = [], self.d.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = self.d.find(mark, at + 1)
+            self.places[mark] = found
+        return self.places[mark]
+
+    def archives(self) -> dict[int, int]:
+        """Where ZIP archives start, as their end records tell, and where each ends; of several ends the last."""
+        if self._archives is None:
+            self._archives = {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(self.d):
+                    size, offset, note = struct.unpack_from("<IIH", self.d, end + 12)
+                    at, stop = end - offset - size, end + 22 + note
+                    if at >= 0 and stop <= len(self.d) and (size == 0 or self.d[at + offset : at + offset + 4] == b"PK\x01\x02"):
+                        self._archives[at] = stop
+        return self._archives
+
+    def subblocks(self, pos: int) -> int:
+        """The place after a chain of GIF sub-blocks, or beyond the data; ways that meet are walked once."""
+        way = []
+        while pos < len(self.d) and self.d[pos] and pos not in self.ends:
+            way.append(pos)
+            pos += 1 + self.d[pos]
+        end = self.ends[pos] if pos in self.ends else pos + 1
+        self.ends.update(dict.fromkeys(way, end))
+        return end
+
+
+# Validators: (data, offset, marks) -> length of a well-formed object that starts there, or 0.
+
+
+def _wav(d: bytes, at: int, marks: Marks) -> int:
     if len(d) < at + 12 or d[at + 8 : at + 12] != b"WAVE":
         return 0
     end, pos, fmt, data = at + 8 + int.from_bytes(d[at + 4 : at + 8], "little"), at + 12, False, False
@@ -35,7 +76,7 @@ def _wav(d: bytes, at: int) -> int:
     return end - at if fmt and data and pos == end else 0
 
 
-def _png(d: bytes, at: int) -> int:
+def _png(d: bytes, at: int, marks: Marks) -> int:
     pos, first = at + 8, True
     while pos + 12 <= len(d):
         size, kind = int.from_bytes(d[pos : pos + 4], "big"), d[pos + 4 : pos + 8]
@@ -49,7 +90,7 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(d: bytes, at: int, marks: Marks) -> int:
     pos = at + 13
     if len(d) < pos:
         return 0
@@ -66,13 +107,11 @@ def _gif(d: bytes, at: int) -> int:
             pos += 2
         else:
             return 0
-        while pos < len(d) and d[pos]:
-            pos += 1 + d[pos]
-        pos += 1
+        pos = marks.subblocks(pos)
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(d: bytes, at: int, marks: Marks) -> int:
     pos, scanned = at + 2, False
     while pos + 4 <= len(d):
         if d[pos] != 0xFF:
@@ -99,7 +138,7 @@ def _jpeg(d: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(d: bytes, at: int) -> int:
+def _bmp(d: bytes, at: int, marks: Marks) -> int:
     if len(d) < at + 30:
         return 0
     size, start, header, width, _, planes, bits = struct.unpack_from("<I4xIIiiHH", d, at + 2)
@@ -107,21 +146,22 @@ def _bmp(d: bytes, at: int) -> int:
     return size if ok and at + size <= len(d) else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and d.find(b"startxref", at, end) > 0 and d[at + 5 : at + 6].isdigit() else 0
+def _pdf(d: bytes, at: int, marks: Marks) -> int:
+    """Up to the last end mark before the next document begins: a revised one has several."""
+    if not d[at + 5 : at + 6].isdigit():
+        return 0
+    starts, ends, references = marks.of(b"%PDF-"), marks.of(b"%%EOF"), marks.of(b"startxref")
+    i = bisect_right(starts, at)
+    last = bisect_left(ends, starts[i] if i < len(starts) else len(d)) - 1
+    first = bisect_left(references, at)
+    return ends[last] + 5 - at if last >= 0 and ends[last] > at and first < len(references) and references[first] < ends[last] else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    if end < 0 or len(d) < end + 22:
-        return 0
-    size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-    ok = at + offset + size == end and (size == 0 or d[at + offset : at + offset + 4] == b"PK\x01\x02")
-    return end + 22 + note - at if ok and end + 22 + note <= len(d) else 0
+def _zip(d: bytes, at: int, marks: Marks) -> int:
+    return marks.archives().get(at, at) - at
 
 
-def _gzip(d: bytes, at: int) -> int:
+def _gzip(d: bytes, at: int, marks: Marks) -> int:
     if d[at + 2 : at + 3] != b"\x08":
         return 0
     try:
@@ -135,7 +175,7 @@ def _gzip(d: bytes, at: int) -> int:
         return 0
 
 
-def _flac(d: bytes, at: int) -> int:
+def _flac(d: bytes, at: int, marks: Marks) -> int:
     pos, first = at + 4, True
     while pos + 4 <= len(d):
         kind, size = d[pos] & 0x7F, int.from_bytes(d[pos + 1 : pos + 4], "big")
@@ -147,7 +187,7 @@ def _flac(d: bytes, at: int) -> int:
     return 0
 
 
-def _mp4(d: bytes, at: int) -> int:
+def _mp4(d: bytes, at: int, marks: Marks) -> int:
     pos, at, movie = at - 4, at - 4, False
     if at < 0:
         return 0
@@ -161,7 +201,7 @@ def _mp4(d: bytes, at: int) -> int:
 
 
 #: Magic bytes, type, validator, and how far before the magic bytes the object starts.
-SIGNATURES: tuple[tuple[bytes, str, Callable[[bytes, int], int], int], ...] = (
+SIGNATURES: tuple[tuple[bytes, str, Callable[[bytes, int, Marks], int], int], ...] = (
     (b"RIFF", "audio/wav", _wav, 0),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png, 0),
     (b"GIF87a", "image/gif", _gif, 0),
@@ -192,11 +232,11 @@ def sniff(data: bytes, magic) -> list[tuple[str, int, int]]:
 
     An offset is judged once for each type. Objects within others are reported as well.
     """
-    found = []
+    found, marks = [], Marks(data)
     for last, i in magic.iter(data.decode("latin-1")):
         word, kind, check, before = SIGNATURES[i]
         at = last - len(word) + 1
-        if length := check(data, at):
+        if length := check(data, at, marks):
             found.append((kind, at - before, length))
     return sorted(set(found), key=lambda x: (x[1], -x[2], x[0]))
 

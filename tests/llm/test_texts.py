@@ -107,6 +107,32 @@ def test_sniffing_and_carving(spark):
     assert (made[1]["type"], made[3]["type"], made[4]["type"]) == ("text/plain", "a/b", "application/octet-stream")
 
 
+def test_sniffing_takes_linear_time():
+    import time
+
+    magic = media.automaton()
+    for unit in (b"%PDF-1", b"PK\x03\x04 ", b"GIF89a!!!!!!!", b"BM RIFF    WAVE ftyp fLaC "):
+        start = time.monotonic()
+        assert media.sniff(unit * ((1 << 20) // len(unit)) + b"x" * 1000, magic) == []
+        assert time.monotonic() - start < 30
+
+
+def test_ends_of_documents_and_archives():
+    import io
+    import zipfile
+
+    magic, pdf = media.automaton(), b"%PDF-1.4 a startxref 9 %%EOF b startxref 9 %%EOF"
+    assert media.sniff(b"x" + pdf + b" y " + pdf, magic) == [("application/pdf", 1, len(pdf)), ("application/pdf", len(pdf) + 4, len(pdf))]
+    assert media.sniff(b"%PDF-1 no end startxref %PDF-1", magic) == []
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a", "text")
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("b.zip", inner.getvalue())
+    whole = outer.getvalue()
+    assert media.sniff(b"  " + whole, magic) == [("application/zip", 2, len(whole)), ("application/zip", 2 + whole.index(inner.getvalue()), len(inner.getvalue()))]
+
+
 # substrings
 
 
