@@ -11,8 +11,9 @@ from .common import per_text, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Chunks whose counts a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Characters of the chunks whose counts a worker remembers, beyond which the memory starts anew; longer chunks than that
+#: many characters are counted each time.
+REMEMBERED, LONGEST = 4_000_000, 64
 #: Symbols that are merged at once in one array.
 BATCH_SYMBOLS = 1 << 20
 
@@ -144,7 +145,7 @@ def counter_of_texts(tables: dict):
     split = regex.compile(PATTERN).findall
     cuts = regex.compile(r"(?<=\S)(?= \S)")
     odd = regex.compile(r" \s|\s |^\s|\s$").search
-    counter, seen = Counter(tables), {}
+    counter, seen, size_of_seen = Counter(tables), {}, 0
     specials = regex.compile("|".join(map(regex.escape, tables["specials"]))) if tables["specials"] else None
 
     def chunks(text: str) -> list[str]:
@@ -153,8 +154,9 @@ def counter_of_texts(tables: dict):
         parts = text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]] if text else []
 
-    def learn(new: list[str]) -> None:
-        at = 0
+    def learn(new: list[str]) -> dict[str, int]:
+        nonlocal size_of_seen
+        at, learnt = 0, {}
         while at < len(new):
             pieces, owner, size, start = [], [], 0, at
             while at < len(new) and (size < BATCH_SYMBOLS or at == start):
@@ -164,11 +166,18 @@ def counter_of_texts(tables: dict):
                 size += len(new[at])
                 at += 1
             each = np.bincount(owner, counter.counts(pieces), at - start) if pieces else np.zeros(at - start)
-            seen.update(zip(new[start:at], each.astype(np.int64).tolist(), strict=True))
+            learnt.update(zip(new[start:at], each.astype(np.int64).tolist(), strict=True))
+        for chunk, n in learnt.items():
+            if len(chunk) <= LONGEST:
+                seen[chunk] = n
+                size_of_seen += len(chunk)
+        return learnt
 
     def count(texts: list) -> list[int]:
-        if len(seen) > REMEMBERED:
+        nonlocal size_of_seen
+        if size_of_seen > REMEMBERED:
             seen.clear()
+            size_of_seen = 0
         out, new, late = [], set(), []
         for raw in texts:
             text = (raw or b"").decode("utf-8", "replace")
@@ -180,9 +189,9 @@ def counter_of_texts(tables: dict):
                 late.append((len(out), every))
                 known = [0]
             out.append(len(parts) - 1 + sum(known))
-        learn(list(new))
+        learnt = learn(list(new))
         for i, every in late:
-            out[i] += sum(map(seen.__getitem__, every))
+            out[i] += sum(learnt[c] if c in learnt else seen[c] for c in every)
         return out
 
     return count
