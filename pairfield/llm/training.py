@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, fold
 
-#: Texts longer than so many characters are not trained on; they are scored like all others.
-TRAIN_CHARS = 50_000
-
 
 def labels_outside(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
     """(doc_id, y): one label per document whose fold is not the held-out one; null labels and ids are left out."""
@@ -33,6 +30,5 @@ def texts_of(docs: DataFrame, sample: DataFrame, text: str = "text") -> list[tup
     """
     ids = sample.select(F.col("doc_id").alias("__id"), "y")
     picked = docs.select("doc_id", F.col(text).cast("string").alias("__t")).join(broadcast_if_small(ids), F.col("doc_id") == F.col("__id"))
-    picked = picked.filter(F.length(F.coalesce("__t", F.lit(""))) <= TRAIN_CHARS)
     rows = picked.select("doc_id", F.coalesce(F.col("__t"), F.lit("")).cast("binary").alias("__t"), "y").collect()
     return [(bytes(r["__t"]), int(r["y"])) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["__t"])))]
