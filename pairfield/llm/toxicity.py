@@ -13,7 +13,7 @@ from .common import fold, per_text, table
 from .training import labels_outside, texts_of, thinned
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Confirmed toxic and unlabelled documents to train on, about; chosen by a hash of the id.
+#: Confirmed toxic documents, and labelled ones whose labels are not used, to train on, about; chosen by a hash of the id.
 POSITIVE_ROWS, UNLABELLED_ROWS = 2_000, 10_000
 BUCKETS, EPOCHS, BATCH, RATE, DECAY, SEED = 1 << 18, 100, 1024, 0.25, 1e-5, 11
 #: Only features that so many toxic documents have, more than by chance by so many standard deviations, and of
@@ -112,7 +112,8 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[np.ndarray, float]:
-    """Trains on confirmed toxic documents and on a sample of all other documents outside the held-out fold.
+    """Trains on confirmed toxic documents and on unlabelled ones, which are a sample of the labelled rows outside the
+    held-out fold without their labels. Both samples are bounded, so no pass over all ids is needed to draw them.
 
     The class prior is the share of toxic ones among labelled documents outside that fold.
     """
@@ -120,9 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = min(0.9, max(0.001, toxic / n)) if n else 0.01
     positive = texts_of(docs, thinned(known.filter("y = 1"), POSITIVE_ROWS, "toxic"))
-    others = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).filter(fold("doc_id", folds) != held_out).distinct()
-    others = others.withColumn("y", F.lit(0))
-    unlabelled = texts_of(docs, thinned(others, UNLABELLED_ROWS, "unlabelled"))
+    unlabelled = texts_of(docs, thinned(known.withColumn("y", F.lit(0)), UNLABELLED_ROWS, "unlabelled"))
     known.unpersist()
     return train([t for t, _ in positive], [t for t, _ in unlabelled], prior)
 
