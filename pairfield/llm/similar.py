@@ -23,8 +23,10 @@ SHINGLE, SIMILAR = 5, 0.8
 SAMPLE_ROWS, HEAVY, HEAVY_MOST = 20_000, 5, 200_000
 #: Shingles of texts that a task remembers while it compares pairs.
 REMEMBERED = 4_000_000
+#: Bits of a set's sketch.
+BITS = 512
 #: Turns in which the sets that meet are compared with one of them.
-LEADERS = 2
+LEADERS = 4
 
 
 def shingles_of(texts: list, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -48,6 +50,15 @@ def _prefix(shingles: np.ndarray, heavy: np.ndarray, similar: float) -> np.ndarr
     return shingles[order[: n - int(np.ceil(similar * n - 1e-9)) + 1]] if n else shingles
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of BITS shares of all shingles, whether the set has an odd number of them.
+
+    Sketches of two sets differ in no more bits than there are shingles in only one of the sets.
+    """
+    share = (shingles.view(np.uint64) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(share, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _heavy(docs: DataFrame, text: str) -> np.ndarray:
     t = F.col(f"`{text}`")
     share = max(1, docs.count() // SAMPLE_ROWS)
@@ -64,6 +75,19 @@ def _could(n: str, m: str, p: str, q: str, similar: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * similar - 1e-9) & (most * (1 + similar) >= (n + m) * similar - 1e-6)
 
 
+def _alike(n: str, m: str, x: str, y: str, similar: float) -> Column:
+    """Whether sets of n and m shingles with sketches x and y can be similar; similar sets always can."""
+    x, y = F.col(x), F.col(y)
+    different = sum(F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64))
+    return different * (1 + similar) <= (F.col(n) + F.col(m)) * (1 - similar) + 1e-6
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, similar: float) -> DataFrame:
+    """Of pairs (a, b), those whose sketches leave it open; sketches: (node, n, sketch)."""
+    left, right = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(_alike("na", "nb", "xa", "xb", similar)).select("a", "b")
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -99,14 +123,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
+def _unconnected(named: DataFrame, known: DataFrame) -> DataFrame:
+    """named (s, node, n, p, root) with roots by the pairs known; only shingles whose sets aren't all connected."""
+    labels = components(known).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    named = named.join(labels, named["node"] == labels["__n"], "left").withColumn("root", F.coalesce("__r", "root")).drop("__n", "__r")
+    named = written(named)
+    groups = named.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return written(looked_up(named, cut(groups.filter("low <> high").select("s", "k")), ["s"], "k"))
+
+
 def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
     """(a, b): pairs of sets of shingles, by their digests, that connect the same sets as all pairs of that similarity.
 
-    Sets meet at each shingle that their prefixes share. First all that meet somewhere are compared with one of them, the
-    leader, so a group of copies of one text is connected by as many pairs as it has members. Then only pairs that
+    Sets meet at each shingle that their prefixes share, and are compared if sizes, places and sketches leave it open
+    whether they are similar. First all that meet somewhere are compared with one of them, the
+    leader, so a group of copies of one text is connected by as many pairs as it has members. The first turn's leaders
+    come in one order for all shingles, later ones in an order of each shingle's own: a group that meets at many shingles
+    has many leaders, so chains of similar texts are connected as well, by no more pairs than there are meetings. From the
+    second turn on, shingles whose sets are all connected are done, and connected sets aren't compared. Then only pairs that
     aren't connected yet are compared: those of a set outside its leader's component with all others in its group.
     """
-    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
+    sketches = written(nodes.select("node", "n", "sketch"))
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("__times")).filter("__times > 1").select("s")
     met = written(rows.join(shared.hint("shuffle_hash"), "s"))
@@ -121,22 +159,24 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float
     texts = per_text(docs, "node long, z binary", make, (), text)
     texts = texts.join(broadcast_if_small(wanted), texts["node"] == F.col("__w"), "left_semi")
     texts = written(texts.dropDuplicates(["node"]))
-    tried, edges = [], []
+    tried, edges, named = [], [], met.withColumn("root", F.col("node"))
     for turn in range(LEADERS):
-        by = F.xxhash64("node", F.lit(turn))
-        leaders = cut(met.groupBy("s").agg(*[F.min_by(c, by).alias(f"_{c}") for c in ("node", "n", "p")], F.count("*").alias("k")))
-        found = looked_up(met, leaders, ["s"], "k").filter("node <> _node").filter(_could("n", "_n", "p", "_p", similar))
-        tried.append(written(found.select(*_pair("node", "_node")).distinct()))
+        by = F.xxhash64("node", F.col("s") if turn else F.lit(0), F.lit(turn))
+        leaders = cut(named.groupBy("s").agg(*[F.min_by(c, by).alias(f"_{c}") for c in ("node", "n", "p", "root")], F.count("*").alias("k")))
+        found = looked_up(named, leaders, ["s"], "k").filter("root <> _root").filter(_could("n", "_n", "p", "_p", similar))
+        found = _sketched(found.select(*_pair("node", "_node")).distinct(), sketches, similar)
+        tried.append(written(reduce(lambda x, y: x.join(y, ["a", "b"], "left_anti"), tried, found)))
         edges.append(written(_confirmed(tried[-1], texts, similar)))
+        if turn:
+            named = _unconnected(named, reduce(DataFrame.unionByName, edges))
     known, seen = (reduce(DataFrame.unionByName, x) for x in (edges, tried))
-    labels = components(known).select(F.col("node").alias("__n"), "root")
-    named = met.join(labels, met["node"] == labels["__n"], "left").select("s", "node", "n", "p", F.coalesce("root", "node").alias("root"))
-    named = written(named)
-    groups = named.groupBy("s").agg(F.min_by("root", F.xxhash64("node", F.lit(0))).alias("first"), F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = written(looked_up(named, cut(groups.filter("low <> high").drop("low", "high")), ["s"], "k"))
+    groups = named.groupBy("s").agg(F.min_by("root", F.xxhash64("node", F.lit(0))).alias("first"), F.count("*").alias("k"))
+    mixed = looked_up(named, cut(groups), ["s"], "k")
+    mixed = written(mixed.join(sketches.select(F.col("node").alias("__n"), "sketch"), F.col("node") == F.col("__n")).drop("__n"))
     others = mixed.filter("root <> first").drop("first")
-    every = mixed.select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "p", "root")])
-    rest = others.join(every, "s").filter("root <> _root").filter(_could("n", "_n", "p", "_p", similar))
+    every = mixed.select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "p", "root", "sketch")])
+    open_ = _could("n", "_n", "p", "_p", similar) & _alike("n", "_n", "sketch", "_sketch", similar)
+    rest = others.join(every, "s").filter("root <> _root").filter(open_)
     rest = rest.select(*_pair("node", "_node")).distinct().join(seen, ["a", "b"], "left_anti")
     rest = written(rest)
     return known.unionByName(written(_confirmed(rest, texts, similar)))
@@ -153,11 +193,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILA
     def make():
         def work(texts: list) -> tuple[list, ...]:
             sets = shingles_of(texts)
-            return fingerprints_of(texts), [_node(s) for s in sets], [len(s) for s in sets], [_prefix(s, heavy.value, similar) for s in sets]
+            return fingerprints_of(texts), [_node(s) for s in sets], [len(s) for s in sets], [_prefix(s, heavy.value, similar) for s in sets], [_sketch(s) for s in sets]
 
         return work
 
-    prints = written(per_text(docs, "fp long, node long, n long, prefix array<long>", make, ("doc_id",), text))
+    prints = written(per_text(docs, "fp long, node long, n long, prefix array<long>, sketch array<long>", make, ("doc_id",), text))
     ids = prints.select("doc_id", "fp", "node")
     edges = links(ids.select("fp").distinct()).unionByName(similar_pairs(docs, prints, text, similar))
     edges = edges.unionByName(ids.select(F.col("fp").alias("a"), F.col("node").alias("b")).distinct())
