@@ -26,7 +26,7 @@ REMEMBERED = 4_000_000
 #: Bits of a set's sketch.
 BITS = 512
 #: Turns in which the sets that meet are compared with one of them.
-LEADERS = 2
+LEADERS = 3
 
 
 def shingles_of(texts: list, shingle: int = SHINGLE) -> list[np.ndarray]:
