@@ -38,10 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found or context.getCheckpointDir()
 
 
+#: The setting by which an execution's shuffle files go as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _clearing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside go at once, not when the driver collects garbage: none is read again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _clearing(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 #: Folders that written() has made within temporary(), the innermost last.
@@ -58,7 +77,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     if _MADE:
         _MADE[-1].append(path)
-    df.write.parquet(path)
+    with _clearing(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 
