@@ -89,6 +89,11 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def superseded(df: DataFrame) -> None:
+    """Deletes the table of written() that df is, once nothing will read it again; an empty one stays for temporary()."""
+    removed(df.sparkSession, sorted({path.rpartition("/")[0] for path in df.inputFiles()}))
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that written() makes inside are deleted at the end: results must have been written elsewhere by then."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import word_hashes
-from .common import broadcast_if_small, cut, looked_up, per_text, slices, written
+from .common import broadcast_if_small, cut, looked_up, per_text, slices, superseded, written
 from .components import components
 from .decontaminate import grams
 from .simhash import fingerprints_of, labelled, links
@@ -124,12 +124,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def _unconnected(named: DataFrame, known: DataFrame) -> DataFrame:
-    """named (s, node, n, p, root) with roots by the pairs known; only shingles whose sets aren't all connected."""
+    """named (s, node, n, p, root) with roots by the pairs known; only shingles whose sets aren't all connected.
+
+    The table that named is read from is deleted: nothing reads it again.
+    """
     labels = components(known).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    before = named
     named = named.join(labels, named["node"] == labels["__n"], "left").withColumn("root", F.coalesce("__r", "root")).drop("__n", "__r")
     named = written(named)
+    superseded(before)
     groups = named.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return written(looked_up(named, cut(groups.filter("low <> high").select("s", "k")), ["s"], "k"))
+    left = written(looked_up(named, cut(groups.filter("low <> high").select("s", "k")), ["s"], "k"))
+    superseded(named)
+    return left
 
 
 def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
