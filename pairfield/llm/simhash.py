@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, looked_up, per_text, table, written
+from .common import looked_up, per_text, superseded, table, written
 from .components import components
 
 SHINGLE = 3
@@ -114,9 +114,12 @@ def labelled(prints: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(edges)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    linked = cut(looked_up(named, cut(smallest).withColumnRenamed("n", "members"), ["root"], "members").select("fp", "n", "component_id"))
+    named = written(named)
+    superseded(roots)
+    smallest = written(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    linked = written(looked_up(named, smallest, ["root"], "members").select("fp", "n", "component_id"))
+    superseded(named)
+    superseded(smallest)
     return looked_up(prints, linked, ["fp"]).select("doc_id", "fp", "component_id")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import word_hashes
-from .common import broadcast_if_small, cut, looked_up, per_text, slices, superseded, written
+from .common import broadcast_if_small, looked_up, per_text, slices, superseded, written
 from .components import components
 from .decontaminate import grams
 from .simhash import fingerprints_of, labelled, links
@@ -83,9 +83,12 @@ def _alike(n: str, m: str, x: str, y: str, similar: float) -> Column:
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, similar: float) -> DataFrame:
-    """Of pairs (a, b), those whose sketches leave it open; sketches: (node, n, sketch)."""
+    """Of pairs (a, b), those whose sketches leave it open; sketches: (node, n, sketch).
+
+    They are dealt by both ends: most pairs of a large group have its leader as one end.
+    """
     left, right = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(_alike("na", "nb", "xa", "xb", similar)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(_alike("na", "nb", "xa", "xb", similar)).select("a", "b").repartition("a", "b")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -128,13 +131,15 @@ def _unconnected(named: DataFrame, known: DataFrame) -> DataFrame:
 
     The table that named is read from is deleted: nothing reads it again.
     """
-    labels = components(known).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    roots = components(known)
+    labels = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
     before = named
     named = named.join(labels, named["node"] == labels["__n"], "left").withColumn("root", F.coalesce("__r", "root")).drop("__n", "__r")
     named = written(named)
     superseded(before)
+    superseded(roots)
     groups = named.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
-    left = written(looked_up(named, cut(groups.filter("low <> high").select("s", "k")), ["s"], "k"))
+    left = written(looked_up(named, written(groups.filter("low <> high").select("s", "k")), ["s"], "k"))
     superseded(named)
     return left
 
@@ -155,7 +160,7 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("__times")).filter("__times > 1").select("s")
     met = written(rows.join(shared.hint("shuffle_hash"), "s"))
-    wanted = cut(met.select(F.col("node").alias("__w")).distinct())
+    wanted = written(met.select(F.col("node").alias("__w")).distinct())
 
     def make():
         import zstandard
@@ -169,16 +174,17 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float
     tried, edges, named = [], [], met.withColumn("root", F.col("node"))
     for turn in range(LEADERS):
         by = F.xxhash64("node", F.col("s") if turn else F.lit(0), F.lit(turn))
-        leaders = cut(named.groupBy("s").agg(*[F.min_by(c, by).alias(f"_{c}") for c in ("node", "n", "p", "root")], F.count("*").alias("k")))
+        leaders = written(named.groupBy("s").agg(*[F.min_by(c, by).alias(f"_{c}") for c in ("node", "n", "p", "root")], F.count("*").alias("k")))
         found = looked_up(named, leaders, ["s"], "k").filter("root <> _root").filter(_could("n", "_n", "p", "_p", similar))
         found = _sketched(found.select(*_pair("node", "_node")).distinct(), sketches, similar)
         tried.append(written(reduce(lambda x, y: x.join(y, ["a", "b"], "left_anti"), tried, found)))
+        superseded(leaders)
         edges.append(written(_confirmed(tried[-1], texts, similar)))
         if turn:
             named = _unconnected(named, reduce(DataFrame.unionByName, edges))
     known, seen = (reduce(DataFrame.unionByName, x) for x in (edges, tried))
     groups = named.groupBy("s").agg(F.min_by("root", F.xxhash64("node", F.lit(0))).alias("first"), F.count("*").alias("k"))
-    mixed = looked_up(named, cut(groups), ["s"], "k")
+    mixed = looked_up(named, written(groups), ["s"], "k")
     mixed = written(mixed.join(sketches.select(F.col("node").alias("__n"), "sketch"), F.col("node") == F.col("__n")).drop("__n"))
     others = mixed.filter("root <> first").drop("first")
     every = mixed.select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "p", "root", "sketch")])

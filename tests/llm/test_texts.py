@@ -8,6 +8,7 @@ import struct
 import wave
 import zipfile
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -374,6 +375,47 @@ def test_long_chain_of_components(spark):
     assert roots == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("few", [0, 40, components.FEW])
+def test_components_match_brute_force(spark, monkeypatch, few):
+    """Chains, stars, loops and random graphs, solved in memory at once, after some contractions, or never."""
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    rnd = random.Random(12)
+    pairs = [(i, i + 1) for i in range(200)] + [(i, 1000) for i in range(1001, 1100)] + [(-5, 2000), (2000, -5), (7000, 7000)]
+    pairs += [(rnd.randrange(3000, 3200), rnd.randrange(3000, 3200)) for _ in range(120)] + [(1 << 62, -(1 << 62))]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    while any(root[a] != root[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    rows = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in rows} == root and len(rows) == len(root)
+    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def test_components_of_a_small_graph_take_few_tasks_and_leave_one_table(spark):
+    """Each task costs files, and a line of the event log: with 60 partitions it took thousands, and left each round's labels."""
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before, edges = set(folder.rglob("*")), spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    partitions, context = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    adaptive = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set(adaptive, "false")
+    context.setJobGroup("small graph", "")
+    try:
+        found = components.components(edges)
+        tracker = context.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup("small graph") for i in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset(adaptive)
+    assert 0 < tasks < 300
+    left = {p.parent for p in set(folder.rglob("*")) - before if p.is_file() and not p.name.startswith((".", "_"))}
+    assert len(left) == 1 and {r["root"] for r in found.collect()} == {0}
+
+
 # html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
