@@ -27,6 +27,8 @@ REMEMBERED = 4_000_000
 BITS = 512
 #: Turns in which the sets that meet are compared with one of them.
 LEADERS = 3
+#: Of a set's first shingles, so many tell whether two sets have met before.
+FIRST = 8
 
 
 def shingles_of(texts: list, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -82,6 +84,15 @@ def _alike(n: str, m: str, x: str, y: str, similar: float) -> Column:
     return different * (1 + similar) <= (F.col(n) + F.col(m)) * (1 - similar) + 1e-6
 
 
+def _first_met() -> Column:
+    """Whether sets that meet at places p and _p share none of the FIRST shingles of either before; so at their first meeting.
+
+    Of those that share none among these, further meetings count as first ones too: a pair may come again, none is lost.
+    """
+    before = [F.slice(lead, F.lit(1), F.least(F.col(p).cast("int"), F.lit(FIRST))) for lead, p in (("lead", "p"), ("_lead", "_p"))]
+    return ~F.arrays_overlap(*before)
+
+
 def _sketched(pairs: DataFrame, sketches: DataFrame, similar: float) -> DataFrame:
     """Of pairs (a, b), those whose sketches leave it open; sketches: (node, n, sketch).
 
@@ -144,6 +155,17 @@ def _unconnected(named: DataFrame, known: DataFrame) -> DataFrame:
     return left
 
 
+def _left(mixed: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b), some more than once, of sets with different roots that meet in mixed and may be similar.
+
+    mixed: (s, node, n, p, root, first, sketch, lead), first being the root of one set of those that meet at s.
+    """
+    others = mixed.filter("root <> first").drop("first")
+    every = mixed.select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "p", "root", "sketch", "lead")])
+    open_ = _could("n", "_n", "p", "_p", similar) & _alike("n", "_n", "sketch", "_sketch", similar) & _first_met()
+    return others.join(every, "s").filter("root <> _root").filter(open_).select(*_pair("node", "_node"))
+
+
 def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
     """(a, b): pairs of sets of shingles, by their digests, that connect the same sets as all pairs of that similarity.
 
@@ -153,10 +175,11 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float
     come in one order for all shingles, later ones in an order of each shingle's own: a group that meets at many shingles
     has many leaders, so chains of similar texts are connected as well, by no more pairs than there are meetings. From the
     second turn on, shingles whose sets are all connected are done, and connected sets aren't compared. Then only pairs that
-    aren't connected yet are compared: those of a set outside its leader's component with all others in its group.
+    aren't connected yet are compared: those of a set outside its leader's component with all others in its group. Such
+    sets often share many shingles; their pair is taken where they meet first, not at each.
     """
     nodes = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
-    sketches = written(nodes.select("node", "n", "sketch"))
+    sketches = written(nodes.select("node", "n", "sketch", F.slice("prefix", 1, FIRST).alias("lead")))
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("__times")).filter("__times > 1").select("s")
     met = written(rows.join(shared.hint("shuffle_hash"), "s"))
@@ -185,13 +208,8 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, text: str, similar: float
     known, seen = (reduce(DataFrame.unionByName, x) for x in (edges, tried))
     groups = named.groupBy("s").agg(F.min_by("root", F.xxhash64("node", F.lit(0))).alias("first"), F.count("*").alias("k"))
     mixed = looked_up(named, written(groups), ["s"], "k")
-    mixed = written(mixed.join(sketches.select(F.col("node").alias("__n"), "sketch"), F.col("node") == F.col("__n")).drop("__n"))
-    others = mixed.filter("root <> first").drop("first")
-    every = mixed.select("s", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "p", "root", "sketch")])
-    open_ = _could("n", "_n", "p", "_p", similar) & _alike("n", "_n", "sketch", "_sketch", similar)
-    rest = others.join(every, "s").filter("root <> _root").filter(open_)
-    rest = rest.select(*_pair("node", "_node")).distinct().join(seen, ["a", "b"], "left_anti")
-    rest = written(rest)
+    mixed = written(mixed.join(sketches.select(F.col("node").alias("__n"), "sketch", "lead"), F.col("node") == F.col("__n")).drop("__n"))
+    rest = written(_left(mixed, similar).distinct().join(seen, ["a", "b"], "left_anti"))
     return known.unionByName(written(_confirmed(rest, texts, similar)))
 
 
